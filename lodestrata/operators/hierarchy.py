@@ -106,7 +106,8 @@ def _solve(nodes: DataFrame, keys: list[Column], tasks: int, level: int, single_
 
     # written, so that its true size is known: as a small side it is broadcast and the fragments are not shuffled
     tops = written(frag.filter(F.col("exit").isNotNull()).select("id", "exit", "hop"), f"exits-{level}")
-    ends = frag.select(F.col("id").alias("exit"), F.col("top").alias("q_parent"), F.col("lprefix").alias("q_prefix"), F.col("state").alias("q_state"))
+    # a semi join may broadcast its right side, so that only the fragments' ends are shuffled
+    ends = frag.join(tops.select(F.col("exit").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("exit"), F.col("top").alias("q_parent"), F.col("lprefix").alias("q_prefix"), F.col("state").alias("q_state"))
     linked = tops.join(ends, "exit", "left").select(
         "id",
         F.when(F.col("q_state") == TREE, F.col("q_parent")).alias("parent"),
