@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("q_documented_code", "q_conversations", "q_tokens", "q_mixing", "q_prose", "q_handwritten", "q_chunking")
+MODULES = ("q_documented_code", "q_conversations", "q_tokens", "q_mixing", "q_prose", "q_handwritten", "q_chunking", "q_neighbours")
 
 
 def _collect(attribute: str) -> dict:
