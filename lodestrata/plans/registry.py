@@ -6,8 +6,8 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with ``QUERIES`` (name to callable) and ``ORACLES`` (name to SQL).
-MODULES = ("message_trees",)
-FLAGSHIP = "p3_found"
+MODULES = ("lexical", "message_trees")
+FLAGSHIP = "lexical_bm25_topk"
 
 
 def _collect(attribute: str) -> dict:
