@@ -14,7 +14,6 @@ with the file's path, whose side is one small row per file.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,6 +68,11 @@ _RUN = re.compile(r"[A-Za-z0-9+/=_\\-]{120,}")
 _NAME = re.compile(r"(?<![\w$\"'.])[A-Za-z_$][\w$]*")
 _KEYWORDS = frozenset("if else for while do return var let const function new this throw try catch void typeof in of null true false export import class extends static async await switch case break default from".split())
 _INSERT = re.compile(r"^\s*(?:insert\s+into\b.*\bvalues\b|\(.*\)\s*[,;]\s*$|\\?copy\b|[^\t\n]*\t[^\t\n]*\t)", re.I)
+# Plain strings without one of which the patterns above cannot match.
+_BUNDLE_SIGNS = ("/***/", "__", "bundle ", "webpack", "parcelRequire", "System.register", "define(")
+_COMPILED_SIGNS = ("__esModule", "this && this.", "_interopRequire", "tslib_")
+_SPACES = re.compile(r"\s+")
+_BRACKETS = re.compile(r"[,\[\](){}:;]+")
 _COMMENT = re.compile(r"^\s*(?://|/\*|\*|--|#(?!include|define|if|!/)|<!--)")
 _SHAPE = [(re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"), "s"), (re.compile(r"[A-Za-z_$][\w$]*"), "w"), (re.compile(r"\d+(?:\.\d+)?"), "0"), (re.compile(r"\s+"), " "), (re.compile(r"(?:w(?:<[w, ]*>)?(?:\[\])?)"), "w")]
 _NUMBERED = re.compile(r"[A-Za-z_$]*?[A-Za-z_](\d+)(?=\b|[A-Z_])")
@@ -106,69 +110,84 @@ def _in_sequence(lines: list[str]) -> float:
     return sum(b == a + 1 or 0 <= b <= 1 for a, b in zip([-1, *numbers], numbers)) / len(lines) if lines else 0.0
 
 
-def layout(text: str, lines: list[str]) -> dict:
-    """The layout statistics of one text."""
-    full = [x for x in lines if x.strip()]
-    n, total = max(1, len(full)), max(1, len(text))
-    body = [x for x in full if not _COMMENT.match(x)]
-    names = [x for x in _NAME.findall(text[:200_000]) if x not in _KEYWORDS]
-    shapes = Counter(shape_of(x) for x in body[:4000])
-    openers = [x for x in body if not x[0].isspace() and x.rstrip().endswith("{")]
-    members = [x for x in body if x[0].isspace()]
+def density(text: str) -> dict:
+    """White space, literals and encoded runs of a text, each by one search."""
+    total = max(1, len(text))
+    space = sum(map(len, _SPACES.findall(text)))
+    runs = [len(x) for x in _RUN.findall(text)]
+    return {
+        "space": space / total,
+        "literals": sum(map(len, _NUMBER.findall(text))) / max(1, total - space - sum(map(len, _BRACKETS.findall(text)))),
+        "encoded": max(runs, default=0),
+        "encoded_share": sum(runs) / total,
+    }
+
+
+def structure(body: list[str]) -> dict:
+    """How the lines of code are shaped and numbered."""
     return {
-        "lines": len(full),
-        "max_line": max(map(len, lines), default=0),
-        "mean_line": sum(map(len, full)) / n,
-        "space": sum(map(str.isspace, text)) / total,
-        "alnum": sum(map(str.isalnum, text)) / total,
-        "literals": sum(len(m) for m in _NUMBER.findall(text)) / max(1, sum(1 for ch in text if not ch.isspace() and ch not in ",[](){}:;")),
-        "encoded": max(map(len, _RUN.findall(text)), default=0),
-        "encoded_share": sum(map(len, _RUN.findall(text))) / total,
-        "name": sum(map(len, names)) / len(names) if names else 0.0,
-        "names": len(names),
-        "body": len(body),
-        "shapes": len(shapes) / max(1, len(body[:4000])),
-        "openers": _in_sequence(openers),
-        "members": _in_sequence(members),
-        "inserts": sum(1 for x in body if _INSERT.match(x)) / max(1, len(body)),
+        "openers": _in_sequence([x for x in body if not x[0].isspace() and x.rstrip().endswith("{")]),
+        "members": _in_sequence([x for x in body if x[0].isspace()]),
     }
 
 
+def mean_name(text: str) -> tuple[int, float]:
+    """Number and mean length of the names in a text."""
+    names = [x for x in _NAME.findall(text) if x not in _KEYWORDS]
+    return len(names), sum(map(len, names)) / len(names) if names else 0.0
+
+
+def shape_share(body: list[str]) -> float:
+    """Distinct line shapes to lines."""
+    return len({shape_of(x) for x in body}) / max(1, len(body))
+
+
 def verdict(text: str | None, path: str | None = None, language: str | None = None) -> tuple[str, str] | None:
     """(class, reason) of a text that nobody wrote by hand, else None.
 
     Classes: ``generated``, ``bundled``, ``compiled``, ``minified``, ``vendored``, ``data``.
+    Marks come first, then densities; names and shapes are looked at only where lines and numbering ask for it.
     """
     if not text or not text.strip():
         return None
     family = family_of(path, language)
     t = FAMILIES[family]
-    lines = text.lstrip("﻿").split("\n")
-    if m := _BANNER.search(head_comments(lines[:200])):
+    lines = text.lstrip("\ufeff").split("\n")
+    comments = head_comments(lines)
+    if m := _BANNER.search(comments):
         return "generated", f"banner: {m[0].strip()[:60]}"
-    s = layout(text, lines)
-    if family == "code":
-        if (m := _BUNDLE.search(text)) and not _in_string(text, m.start()):
+    code = family == "code"
+    if code:
+        if any(x in text for x in _BUNDLE_SIGNS) and (m := _BUNDLE.search(text)) and not _in_string(text, m.start()):
             return "bundled", "module wrapper"
-        if (m := _COMPILED.search(text)) and not _in_string(text, m.start()):
+        if any(x in text for x in _COMPILED_SIGNS) and (m := _COMPILED.search(text)) and not _in_string(text, m.start()):
             return "compiled", "compiler helper"
-        head = "\n".join(lines[:60])
-        if (m := _LIBRARY.search(head)) and not _in_string(head, m.start()):
-            return "vendored", "universal module head"
-        if _LIBRARY_HEAD.search(head_comments(lines[:200])):
+        if "factory" in text or "define" in text or "typeof" in text:
+            head = "\n".join(lines[:60])
+            if (m := _LIBRARY.search(head)) and not _in_string(head, m.start()):
+                return "vendored", "universal module head"
+        if _LIBRARY_HEAD.search(comments):
             return "vendored", "library banner"
-    if s["encoded"] >= t.encoded_run and s["encoded_share"] > 0.4:
+    d = density(text)
+    if d["encoded"] >= t.encoded_run and d["encoded_share"] > 0.4:
         return "data", "encoded run"
-    if family in ("code", "style") and s["mean_line"] > t.mean_line and (s["space"] < t.least_space or (s["space"] < 1.5 * t.least_space and s["name"] < 1.5 * t.name_length)):
+    full = [x for x in lines if x.strip()]
+    mean_line = sum(map(len, full)) / max(1, len(full))
+    squeezed = code and d["space"] < 0.2 or family == "style" and d["space"] < 1.5 * t.least_space
+    n_names, name = mean_name(text) if squeezed and (mean_line > t.mean_line or code and d["space"] < 0.12 or _MAP.search(text)) else (0, 0.0)
+    if family in ("code", "style") and mean_line > t.mean_line and (d["space"] < t.least_space or (n_names and d["space"] < 1.5 * t.least_space and name < 1.5 * t.name_length)):
         return "minified", "long dense lines"
-    if family == "code" and s["names"] >= 40 and s["name"] < t.name_length and (s["space"] < 0.2 or _MAP.search(text)):
+    if code and n_names >= 40 and name < t.name_length:
         return "minified", "squeezed names"
-    if s["literals"] > t.literal_share and s["body"] >= 3:
+    body = [x for x in full if not _COMMENT.match(x)]
+    if d["literals"] > t.literal_share and len(body) >= 3:
         return "data", "literals"
-    if family == "sql" and s["body"] >= 8 and s["inserts"] > 0.8:
+    if family == "sql" and len(body) >= 8 and sum(1 for x in body if _INSERT.match(x)) > 0.8 * len(body):
         return "data", "rows"
-    if family == "code" and s["body"] >= 4 and s["openers"] > 0.8 and s["members"] > 0.4 and s["shapes"] < t.shape_share:
-        return "generated", "few line shapes, numbered in sequence"
+    if code and len(body) >= 4:
+        s = structure(body)
+        if s["openers"] > 0.8 and s["members"] > 0.4 and shape_share(body) < t.shape_share:
+            return "generated", "few line shapes, numbered in sequence"
     return None
 
 
@@ -200,9 +219,7 @@ def source_classes(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Defined cases: null, empty and blank texts are ``handwritten`` (nothing speaks against them); chunks
     without a row in ``files`` are judged as code; a null path or language means code; a file with
-    several ``file`` chunks comes out once for each different verdict; texts of any length are read whole, but
-    line shapes and names are taken from their first part, which can only miss, never name wrongly;
-    an empty table gives an empty result; extra columns are not read.
+    several ``file`` chunks comes out once for each chunk; texts of any length are read whole; an empty table gives an empty result; extra columns are not read.
     """
     texts = chunks.filter((F.col("chunk_kind") == "file") & F.col("file_id").isNotNull()).select("file_id", F.col("content").cast("binary").alias("content"))
     rows = texts.join(files.select("file_id", "path", "language"), "file_id", "left").select("file_id", "content", "path", "language")
