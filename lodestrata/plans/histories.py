@@ -106,11 +106,11 @@ def verification_overall(spark: SparkSession, d: str) -> DataFrame:
 
 def _overlay(spark: SparkSession, d: str, committed: bool) -> DataFrame:
     """Two overlays of the file index: what was indexed, and the working tree after its last changes."""
-    f = load_table(spark, d, "files").select("path", "language", "sha256", "is_deleted", "indexed_at", "last_modified_at", "file_id")
+    f = load_table(spark, d, "files").select("path", "language", "sha256", "is_deleted", "indexed_at", "last_modified_at")
     if committed:
         return f.filter(F.coalesce(F.col("indexed_at") >= F.lit("2025-02-01").cast("timestamp_ntz"), F.lit(True))).select("path", "language", "sha256")
     newer = F.coalesce(F.col("last_modified_at") > F.col("indexed_at"), F.lit(False))
-    return f.filter("is_deleted = 0").select("path", F.when(newer, F.lit(None).cast("string")).otherwise(F.col("language")).alias("language"), F.when(F.col("file_id") % 9 == 0, F.concat("sha256", F.lit("x"))).otherwise(F.col("sha256")).alias("sha256"))
+    return f.filter("is_deleted = 0").select("path", F.when(newer, F.lit(None).cast("string")).otherwise(F.col("language")).alias("language"), F.when(F.col("last_modified_at") >= F.lit("2025-05-01").cast("timestamp_ntz"), F.concat("sha256", F.lit("x"))).otherwise(F.col("sha256")).alias("sha256"))
 
 
 def overlay_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +162,7 @@ _O = "o as (select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2)
 _T = f"""with {_O}, w as (select *, row_number() over x - 1 as position, lead(o_orderstatus) over x as older_status, lag(o_orderstatus) over x as newer_status from o window x as (partition by o_custkey order by o_orderdate desc, o_orderkey desc)),
  t as (select *, case when position > 0 then case when o_orderstatus = 'F' and newer_status = 'O' then 'contradicted' else 'superseded' end when price < 5000 then 'insufficient' when date_diff('day', o_orderdate, as_of) >= 90 then 'stale' when date_diff('day', o_orderdate, as_of) >= 30 then 'aging' when older_status is not null and older_status <> o_orderstatus then 'changed' else 'stable' end as trust_state from w)"""
 _OVER = """a as (select path, language, sha256 from files where coalesce(indexed_at >= '2025-02-01', true)),
- b as (select path, case when coalesce(last_modified_at > indexed_at, false) then null else language end as language, case when file_id % 9 = 0 then sha256 || 'x' else sha256 end as sha256 from files where is_deleted = 0),
+ b as (select path, case when coalesce(last_modified_at > indexed_at, false) then null else language end as language, case when last_modified_at >= '2025-05-01' then sha256 || 'x' else sha256 end as sha256 from files where is_deleted = 0),
  j as (select coalesce(a.path, b.path) as path, a.path is not null as l, b.path is not null as r, a.language is distinct from b.language as lc, a.sha256 is distinct from b.sha256 as sc from a full join b on a.path = b.path),
  diff as (select path, case when not l then 'only_right' when not r then 'only_left' when lc or sc then 'changed' else 'same' end as status, case when l and r then concat_ws(',', case when lc then 'language' end, case when sc then 'sha256' end) else '' end as changed_columns from j)"""
 _VERIFY = """v as (select user_id, max(ts) filter (event_type = 'purchase') as vt, max(ts) filter (event_type = 'signup') as ct, arg_max(event_type, (ts, event_id)) as last from events group by 1),
