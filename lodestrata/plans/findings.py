@@ -10,7 +10,7 @@ from lodestrata.operators.facts import assertion_verdict, confidence, lifecycle,
 from lodestrata.operators.search import best_per_key
 from lodestrata.sources import load_table
 
-RULES = {"open-note": ("warning", "TODO|FIXME|XXX"), "long-line": ("info", "^.{160,}$"), "loose-import": ("error", r"^import .* from \"\.\./[a-z]+\""), "unused-rule": ("info", "never_to_be_found_anywhere")}
+RULES = {"open-note": ("warning", "TODO|FIXME|XXX"), "long-line": ("info", "^.{160,}$"), "loose-import": ("error", r'^import .* from "\.\./[a-z]+"'), "unused-rule": ("info", "never_to_be_found_anywhere")}
 CUT = "2025-04-01 00:00:00"
 
 
@@ -168,10 +168,10 @@ QUERIES = {f.__name__: f for f in (rule_finding_counts, finding_list, findings_m
 
 _FP = "sha256(concat_ws(chr(31), {0}))"
 _STAMP = "rtrim(rtrim(strftime({0}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')"
-_RULES = r"""(values ('open-note', 'warning', 'TODO|FIXME|XXX'), ('long-line', 'info', '^.{160,}$'), ('loose-import', 'error', '^import .* from "\.\./[a-z]+"')) r(rule, severity, pattern)"""
+_RULESQL = " union all ".join(f"select path, last_modified_at, line, line_no, '{n}' as rule, '{sev}' as severity from lines where regexp_matches(line, '{pat}')" for n, (sev, pat) in RULES.items())
 _FIND = f"""texts as (select file_id, path, content, last_modified_at, indexed_at, is_deleted from chunks join files using (file_id) where chunk_kind = 'file'),
  lines as (select path, last_modified_at, unnest(string_split(replace(content, chr(13), ''), chr(10))) as line, generate_subscripts(string_split(replace(content, chr(13), ''), chr(10)), 1) as line_no from texts),
- found as (select path, last_modified_at, line_no, rule, severity, {_FP.format("'s' || rule, 's' || path, 's' || trim(replace(line, chr(9), ' '), ' ')")} as fingerprint from lines join {_RULES} on regexp_matches(line, pattern)),
+ found as (select path, last_modified_at, line_no, rule, severity, {_FP.format("'s' || rule, 's' || path, 's' || trim(replace(line, chr(9), ' '), ' ')")} as fingerprint from ({_RULESQL})),
  acks as (select distinct fingerprint from found where path like '%/scripts/%' or path like '%/docs/%')"""
 _PRIORSQL = f"""prior as (select fingerprint, path, case when severity = 'info' then 'suppressed' when contains(path, '/test/') then 'resolved' else 'active' end as status from (
  select fingerprint, any_value(path) as path, any_value(severity) as severity from found where coalesce(last_modified_at < '{CUT}', true) group by 1
