@@ -47,8 +47,20 @@ def has_phrase(found: Column, terms: list[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).contains(" " + " ".join(terms) + " ")
 
 
-def term_frequency(found: Column, term: str) -> Column:
-    return F.size(F.filter(found, lambda t: t == term))
+def folded(text: Column) -> Column:
+    """The text with the letters A to Z in lower case; null becomes empty."""
+    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+
+
+def token_count(low: Column) -> Column:
+    """Number of tokens of a folded text."""
+    return F.regexp_count(low, F.lit(TOKEN))
+
+
+def term_frequency(low: Column, term: str) -> Column:
+    """How often a token stands in a folded text; texts without the letters are not searched further."""
+    whole = f"(?<![a-z0-9_]){re.escape(term)}(?![a-z0-9_])"
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(whole))).otherwise(F.lit(0))
 
 
 def contains_ci(text: Column, needle: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -57,5 +56,11 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def package_root() -> str:
-    return os.path.dirname(os.path.abspath(__file__))
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session has task slots, if its scan has fewer.
+
+    For narrow passes that compute much for each row: a table in one small file would else be worked
+    on by one task.  Large tables have more splits than slots and are left as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
