@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import spread
+
 # Frequent function words of the corpus languages.
 COMMON = {
     "en": "the of and to a in is it that for on with as was be by at this are or from an not but have had has they their which one you were all there would when who will more no if out so what up its about into than them can only other some could these two may then do any my now such like our over me even most after also did many before must through back much where your way down should because each those people too how just very we he she his her him i nobody nothing while whenever until unless without both although once us every another",
@@ -34,7 +36,8 @@ COMMON = {
 }
 _COMMON = {w for words in COMMON.values() for w in words.split()}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SPACE_RUN = re.compile(r" {2,}|\t+")
+# two blanks after a sentence are no gap between columns
+_SPACE_RUN = re.compile(r"(?<![.!?:;,…)\"”»])(?: {2,}|\t+)")
 _ITEM = re.compile(r"^\s*(?:[-*+•‣▪◦·–]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]\])\s+")
 _SPEAKER = re.compile(r"^\s*(?:[#>]+\s*)?(?:[A-Za-z][\w .-]{0,24}:\s+)")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d\d:\d\d:\d\d|\d\d/\w{3}/\d{4}|\[\d+(?:\.\d+)?\])|^\s*(?:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|TRACE)\b[ :\]]")
@@ -49,7 +52,7 @@ _PLAIN_MARKS = frozenset(".,;:!?'\"()-–—…«»¿¡’‘“”„‚。、
 _NON_LATIN = re.compile(r"[Ͱ-ϿЀ-ӿԱ-֏֐-׿؀-ۿऀ-෿฀-๿ა-ჿ぀-ヿ㐀-鿿가-힯]")
 _JOINT = re.compile(r"['’-]")
 _EDGES = ".,;:!?'\"()-–—…«»¿¡’‘“”„‚*_`[]"
-_BRACED = re.compile(r"[{}]\s*$|=>|\)\s*;\s*$")
+_BRACED = re.compile(r"[{}]\s*$|\)\s*;\s*$")
 _CHUNK_WORDS = 40
 
 KINDS = ("empty", "prose", "list", "table", "code", "log", "junk")
@@ -126,7 +129,7 @@ def label_lines(lines: list[str]) -> list[str]:
             labels.append("log")
         elif _TRACE.search(line):
             labels.append("log")
-        elif grids[i] and grids[i] in near or re.fullmatch(r"[+|:=\-\s]{4,}", s):
+        elif grids[i] and grids[i] in near and not (grids[i][0] in ("gap", ",", ";") and running(line)) or re.fullmatch(r"[+|:=\-\s]{4,}", s):
             labels.append("table")
         elif _BRACED.search(line) or (_CODE.search(line) and not running(line)):
             labels.append("code")
@@ -217,8 +220,6 @@ def statistics(text: str | None) -> dict:
             if label == "item":
                 paragraph.append(_ITEM.sub("", line))
                 close()
-            elif label == "table" and running(line) and not line.strip().startswith("|") and "  " not in line.strip():
-                paragraph.append(line)
     close()
     out["prose_share"] = min(1.0, prose / solid) if solid else 0.0
     out["kind"] = kind_of(out, by, solid)
@@ -269,7 +270,7 @@ def text_quality(df: DataFrame, keep: list[str], text_col: str = "text") -> Data
     """
     narrow = df.select(*keep, F.col(text_col).cast("binary").alias("__text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(_measure, kept + ", ".join(f"{n} {t}" for n, _, t in _OUT))
+    return spread(narrow).mapInArrow(_measure, kept + ", ".join(f"{n} {t}" for n, _, t in _OUT))
 
 
 def not_prose(measured: DataFrame) -> DataFrame:
