@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import shuffle_tasks
+
 #: A description must keep this many words.
 LEAST_WORDS = 4
 
@@ -291,5 +293,7 @@ def documented_functions(files: DataFrame, chunks: DataFrame, symbols: DataFrame
     per_file = functions.groupBy("file_id").agg(F.collect_set(F.struct("symbol_id", "name", "line_start", "line_end", "signature_text")).alias("symbols"))
     texts = chunks.filter((F.col("chunk_kind") == "file") & F.col("content").isNotNull()).select("file_id", "content")
     about = files.select("file_id", "path", "language")
+    # the join's own shuffle, in the session's number of partitions whatever the sizes: parsing costs more than moving
+    texts = texts.repartition(shuffle_tasks(texts.sparkSession), "file_id")
     rows = texts.join(per_file, "file_id").join(about, "file_id", "left").select("file_id", "content", "path", "language", "symbols")
     return rows.mapInArrow(_extract(with_code), "symbol_id long, file_id long, name string, code string, description string").dropDuplicates(["symbol_id"])

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import shuffle_tasks
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -222,5 +224,7 @@ def source_classes(files: DataFrame, chunks: DataFrame) -> DataFrame:
     several ``file`` chunks comes out once for each chunk; texts of any length are read whole; an empty table gives an empty result; extra columns are not read.
     """
     texts = chunks.filter((F.col("chunk_kind") == "file") & F.col("file_id").isNotNull()).select("file_id", F.col("content").cast("binary").alias("content"))
+    # the join's own shuffle, in the session's number of partitions whatever the sizes: judging costs more than moving
+    texts = texts.repartition(shuffle_tasks(texts.sparkSession), "file_id")
     rows = texts.join(files.select("file_id", "path", "language"), "file_id", "left").select("file_id", "content", "path", "language")
     return rows.mapInArrow(_judge, "file_id long, class string, reason string")

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import spread
+
 #: Fixed value: the split that the rank files of the public tokenizers go with.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where the public vocabulary lies on every node; a parameter of all functions.
@@ -184,7 +186,7 @@ def _run(vocabulary: str, counts: bool):
 def _encoded(df: DataFrame, keep: list[str], text_col: str, vocabulary: str, counts: bool) -> DataFrame:
     narrow = df.select(*keep, F.col(text_col).cast("binary").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(_run(vocabulary, counts), f"{kept}{', ' if kept else ''}{'n_tokens int' if counts else 'ids array<int>'}")
+    return spread(narrow).mapInArrow(_run(vocabulary, counts), f"{kept}{', ' if kept else ''}{'n_tokens int' if counts else 'ids array<int>'}")
 
 
 def token_ids(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

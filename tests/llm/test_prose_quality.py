@@ -10,6 +10,8 @@ PROSE = [
     "El lector guarda la lista\nde llamadas, y nadie\ntiene que esperar\npor ella.",
     "user: Should the reader be the one that waits?\nassistant: It should, because the queue is not empty.",
     "Call `readQueue` first, because the reader of the 12 rows is not ready.",
+    "The old reader keeps what it has ::=>>!= found, and nobody has to wait for it.",
+    "The old reader keeps it.  Nobody has to wait\nfor the new one.  It is all that the queue has\nto offer.  There is no more of it for us.",
     "Читатель хранит старые записи, и никому не нужно ждать их.",
 ]
 OTHER = [
