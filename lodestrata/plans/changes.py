@@ -10,12 +10,12 @@ from lodestrata.streaming.changes import change_sets, reusable_artifacts, sessio
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return load_table(spark, d, "events").withColumn("value", F.round("value", 2)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return load_table(spark, d, "events").withColumn("value", F.round(F.col("value") * 100).cast("long")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
     out = windowed_counts(_events(spark, d), "ts", "event_type", "1 day")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("value", 1).alias("value"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
 def sliding_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def artifact_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_bursts, change_set_revisions, artifact_reuse)}
 ORACLES = {
-    "tumbling_counts": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as events, round(sum(round(value, 2)), 1) as value from events group by 1, 2",
+    "tumbling_counts": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as events, cast(sum(cast(round(value * 100) as bigint)) as bigint) as value from events group by 1, 2",
     "sliding_counts": "select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01') - to_hours(o), '%Y-%m-%d %H') as hour, event_type, count(*) as events from events, (values (0), (6)) s(o) group by 1, 2",
     "session_bursts": "with g as (select *, ts - lag(ts) over (partition by user_id order by ts) as gap from events), b as (select *, sum(case when gap is null or gap >= interval '4 hours' then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as burst from g), c as (select user_id, burst, count(*) as n from b group by 1, 2) select user_id, count(*) as bursts, max(n) as largest from c group by 1",
     "change_set_revisions": """with g as (select *, epoch_us(ts) as us from events), l as (select *, us - lag(us) over w as gap from g window w as (partition by user_id order by ts, event_id)),

@@ -71,8 +71,8 @@ def call_costs(spark: SparkSession, d: str) -> DataFrame:
     rows = load_table(spark, d, "lineitem")
     uncached = F.greatest(F.lit(0.0), F.col("l_quantity") - F.floor(F.col("l_quantity") * F.col("l_discount") * 5))
     cached = F.floor(F.col("l_quantity") * F.col("l_discount") * 5)
-    cost = F.round((uncached * 300 + cached * 30 + F.col("l_linenumber") * 1500) / 100, 4)
-    return rows.select("l_suppkey", F.when(cost > 0, cost).alias("cost")).groupBy("l_suppkey").agg(F.count("cost").alias("priced"), F.round(F.sum("cost"), 2).alias("cost"))
+    cost = (uncached * 300 + cached * 30 + F.col("l_linenumber") * 1500).cast("long")  # whole micro units
+    return rows.select("l_suppkey", F.when(cost > 0, cost).alias("cost")).groupBy("l_suppkey").agg(F.count("cost").alias("priced"), F.sum("cost").alias("cost"))
 
 
 def rolling_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +179,7 @@ ORACLES = {
     "ack_rollup": "select source, count(*) as acks, count(distinct sha256(coalesce(text, ''))) as fingerprints, count(*) filter (lang is null) as without_lang, count(distinct project_id) as projects from documents group by 1",
     "ack_by_status": f"select case when grouping(status) = 0 then 0 when grouping(tier) = 0 then 1 else 2 end as grouping, status, tier, project_id, count(*) as sessions, {_STAMP.format('max(updated_at)')} as latest from (select distinct * from harness_sessions) group by grouping sets ((status), (tier), (project_id))",
     "usage_rollup": f"select case when grouping(model) = 1 then 0 when grouping(provider) = 1 then 1 else 2 end as grouping, provider, model, count(*) as calls, cast(sum(tokens) as bigint) as tokens, cast(sum(cost) as bigint) as cost, {_STAMP.format('min(l_shipdate)')} as first_use, {_STAMP.format('max(l_shipdate)')} as last_use from (select l_returnflag as provider, l_linestatus as model, cast(l_quantity as bigint) as tokens, cast(round(l_extendedprice * (1 - l_discount) * 1000) as bigint) as cost, l_shipdate from lineitem where l_returnflag <> 'R') group by grouping sets ((provider), (model), (provider, model))",
-    "call_costs": "with c as (select l_suppkey, round((greatest(0, l_quantity - floor(l_quantity * l_discount * 5)) * 300 + floor(l_quantity * l_discount * 5) * 30 + l_linenumber * 1500) / 100, 4) as cost from lineitem) select l_suppkey, count(*) filter (cost > 0) as priced, round(sum(cost) filter (cost > 0), 2) as cost from c group by 1",
+    "call_costs": "with c as (select l_suppkey, cast(trunc(greatest(0, l_quantity - floor(l_quantity * l_discount * 5)) * 300 + floor(l_quantity * l_discount * 5) * 30 + l_linenumber * 1500) as bigint) as cost from lineitem) select l_suppkey, count(*) filter (cost > 0) as priced, cast(sum(cost) filter (cost > 0) as bigint) as cost from c group by 1",
     "rolling_cost": "select o_orderpriority, cast(coalesce(sum(cents), 0) as bigint) as cents, count(l_orderkey) as calls from orders left join (select l_orderkey, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem where l_shipdate >= '1998-06-01') on o_orderkey = l_orderkey group by 1",
     "run_summary_fanout": "select c_mktsegment, count(distinct c_custkey) as suites, count(distinct o_orderkey) as cases, count(distinct o_orderkey) filter (o_orderstatus = 'F') as failed_cases, count(l_linenumber) as assertions, count(*) filter (l_returnflag = 'R') as failed_assertions from customer left join orders on c_custkey = o_custkey left join lineitem on o_orderkey = l_orderkey group by 1",
     "eval_family_deltas": """with e as (select *, case when value >= 60 then 3 when value >= 30 then 2 when value >= 10 then 1 else 0 end as score from events),
