@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ TOKEN = "[a-z0-9_]+"
 
 def tokens(text: Column, least: int = 1) -> Column:
     """All tokens of a text in order; null texts have none.  Only the letters A to Z are folded."""
-    found = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
     return found if least <= 1 else F.filter(found, lambda t: F.length(t) >= least)
 
 
@@ -48,8 +47,11 @@ def has_phrase(found: Column, terms: list[str]) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """The text with the letters A to Z in lower case; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    """The text in lower case, for tokens; null becomes empty.
+
+    Two letters beyond A to Z (the dotted capital I and the Kelvin sign) would become token letters, and are set aside.
+    """
+    return F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("\u00df")), F.lit("\u212a"), F.lit("\u00df")))
 
 
 def token_count(low: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import folded, term_frequency, token_count, tokens
+from lodestrata.runtime import spread
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -34,7 +35,7 @@ def bm25(df: DataFrame, terms: list[str], text: Column, keep: list[str]) -> Data
     """
     if not terms:
         return df.select(*keep, F.lit(0.0).alias("score")).filter("false")
-    low = df.select(*keep, folded(text).alias("__low"))
+    low = spread(df.select(*keep, text.alias("__text"))).select(*keep, folded(F.col("__text")).alias("__low"))
     counted = low.select(*keep, token_count(F.col("__low")).alias("__dl"), *(term_frequency(F.col("__low"), t).alias(f"__tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avgdl"), *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))))
     hits = counted.filter(reduce(lambda a, b: a | b, (F.col(f"__tf{i}") > 0 for i in range(len(terms))))).join(F.broadcast(stats))

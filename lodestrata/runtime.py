@@ -60,7 +60,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as the session has task slots, if its scan has fewer.
 
     For narrow passes that compute much for each row: a table in one small file would else be worked
-    on by one task.  Large tables have more splits than slots and are left as they are.
+    on by one task.  Large tables have more splits than slots and are left as they are, and so are plans
+    that shuffle already (asking for their partitions would run them).
     """
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
