@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.trie_bpe import VOCABULARY, token_counts
-from lodestrata.runtime import shuffle_tasks, written
+from lodestrata.runtime import shuffle_tasks, spread, written
 
 _FRACTION = 1 << 30
 
@@ -28,7 +28,7 @@ _FRACTION = 1 << 30
 def sized_documents(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``source, doc_id, n_tokens`` of the documents of listed sources that have any tokens."""
     listed = targets.filter("source is not null and target_share > 0").select("source").distinct()
-    docs = documents.filter("doc_id is not null").select("doc_id", "source", "text").join(listed, "source", "left_semi")
+    docs = spread(documents.filter("doc_id is not null").select("doc_id", "source", "text")).join(listed, "source", "left_semi")
     return token_counts(docs.select("source", "doc_id", "text"), ["source", "doc_id"], vocabulary=vocabulary).filter("n_tokens > 0")
 
 
