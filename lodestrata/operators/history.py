@@ -83,7 +83,7 @@ def skipping_budget(df: DataFrame, keys: list[str], rank: str, cost: str, header
 def retained_tail(df: DataFrame, keys: list[str], order: list[str], tokens: str, window: int, keep: int = 4, share: float = 0.6) -> DataFrame:
     """``archive`` marks all but the last ``keep`` rows of the keys whose tokens reach the share of the window.
 
-    The totals are aggregated before they meet the rows, and the tail is found per key by position from the end.
+    Total and position from the end come from one sort of each key's rows, which spills where a key is large.
     """
     w = Window.partitionBy(*keys)
     rows = df.withColumn("total_tokens", F.sum(tokens).over(w)).withColumn("from_end", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order))))
