@@ -28,7 +28,7 @@ def streamed(spark, tmp_path, df, parts=3):
 
 def test_tumbling_stream_equals_batch(spark, tmp_path):
     df = events(spark, [*range(0, 3600, 37), 100_000])
-    got = {(r.window_start, r.event_type): r.events for r in drain(windowed_counts(streamed(spark, tmp_path, df), "ts", "event_type", "5 minutes", lateness="2 hours"), "tumbling").collect()}
+    got = {(r.window_start, r.event_type): r.events for r in drain(windowed_counts(streamed(spark, tmp_path, df, 1), "ts", "event_type", "5 minutes", lateness="2 hours"), "tumbling").collect()}
     want = {(r.window_start, r.event_type): r.events for r in windowed_counts(df, "ts", "event_type", "5 minutes").collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(got) == len(want) - 1  # the last window stays open
 
