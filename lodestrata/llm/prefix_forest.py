@@ -11,8 +11,12 @@ Vectors with the same numbers are one class: one of them stands in the forest fo
 its neighbours and each other.  So a group of copies, however large, neither crowds out the candidates
 of others nor costs more than its rows.
 
+Near copies are no such class, but have the same string in most trees.  Runs of equal strings that are longer than the
+reach are told apart by strings of the differences from the run's mean, again and again while a run stays too
+long; a projection of its own in each tree, not the id, orders a run before, and so cuts it where it spans tasks.
+
 Scale: the forest is linear in the vectors: ``trees`` rows of hash and vector each, range partitioned by
-tree and hash with the id as tie-break, so that partitions are even whatever the hashes.  Each task works
+tree and hash with the projection as tie-break, so that partitions are even whatever the hashes.  Each task works
 on its own stretch of the arrays in blocks; nothing grows with the number of vectors but the number of tasks.
 """
 
@@ -35,11 +39,13 @@ NEIGHBOURS = 5
 TREES, BITS, REACH = 16, 64, 512
 SEED = 20
 _BLOCK = 512
+#: Places beyond k among which float32 products find the best k, and the error of such a product.
+_SPARE, _ERROR = 11, 1e-6
 _TASK_ROWS = 40_000
 
 _UNIT = pa.schema([("id", pa.int64()), ("space", pa.string()), ("digest", pa.binary()), ("unit", pa.binary())])
-_PLACE = pa.schema([("space", pa.string()), ("tree", pa.int32()), ("hash", pa.int64()), ("id", pa.int64()), ("unit", pa.binary())])
-_FOUND = pa.schema([("id", pa.int64()), ("other", pa.list_(pa.int64())), ("cosine", pa.list_(pa.float32()))])
+_PLACE = pa.schema([("space", pa.string()), ("tree", pa.int32()), ("hash", pa.int64()), ("tie", pa.float64()), ("id", pa.int64()), ("unit", pa.binary())])
+_FOUND = pa.schema([("id", pa.int64()), ("other", pa.list_(pa.int64())), ("cosine", pa.list_(pa.float64()))])
 
 
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +83,49 @@ def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, trees * BITS)).astype(np.float32)
 
 
+@lru_cache(maxsize=64)
+def _lines(dim: int, trees: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, 1]).standard_normal((dim, trees))
+
+
+def _strings(sides: np.ndarray) -> np.ndarray:
+    n, bits = sides.shape
+    packed = np.packbits(sides.reshape(n, bits // BITS, BITS), axis=2).reshape(n, bits // BITS, 8)
+    return (packed.copy().view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def hash_strings(units: np.ndarray, trees: int, seed: int) -> np.ndarray:
     """(n, trees) of 64-bit strings whose order as signed numbers is the order of the bits."""
-    sides = (units @ _planes(units.shape[1], trees, seed)) > 0
-    packed = np.packbits(sides.reshape(len(units), trees, BITS), axis=2).reshape(len(units), trees, 8)
-    return (packed.copy().view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return _strings((units @ _planes(units.shape[1], trees, seed)) > 0)
+
+
+def _runs(strings: np.ndarray) -> np.ndarray:
+    """(n, 2) of the first place and the end of each run of equal strings."""
+    edges = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1], [True]]))
+    return np.stack([edges[:-1], edges[1:]], axis=1)
+
+
+def told_apart(units: np.ndarray, strings: np.ndarray, planes: np.ndarray, reach: int) -> np.ndarray:
+    """The order of one sorted array in which runs of equal strings longer than ``reach`` are sorted by finer strings.
+
+    The finer strings are the sides of the differences from the run's mean, on both sides of which there are
+    members; a run that nothing splits keeps its order.
+    """
+    order = np.arange(len(units))
+    todo = [(a, b) for a, b in _runs(strings) if b - a > reach]
+    while todo:
+        start, stop = todo.pop()
+        at = order[start:stop]
+        own = units[at]
+        for _ in range(2):  # the first mean is only as exact as the units are
+            own = own - own.mean(axis=0, dtype=np.float64).astype(np.float32)
+        finer = _strings((own @ planes) > 0)[:, 0]
+        by = np.argsort(finer, kind="stable")
+        order[start:stop] = at[by]
+        parts = _runs(finer[by])
+        if len(parts) > 1:
+            todo += [(start + a, start + b) for a, b in parts if b - a > reach]
+    return order
 
 
 def _place_batches(trees: int, seed: int):
@@ -94,9 +138,10 @@ def _place_batches(trees: int, seed: int):
                 at = np.flatnonzero(sizes == n)
                 for part in np.array_split(at, max(1, len(at) // 2000)):
                     own = units.take(pa.array(part))
-                    hashes = hash_strings(np.frombuffer(b"".join(own.to_pylist()), dtype=np.float32).reshape(len(part), -1), trees, seed)
+                    m = np.frombuffer(b"".join(own.to_pylist()), dtype=np.float32).reshape(len(part), -1)
+                    hashes, ties = hash_strings(m, trees, seed), m.astype(np.float64) @ _lines(m.shape[1], trees, seed)
                     for t in range(trees):
-                        yield pa.RecordBatch.from_arrays([pa.array(spaces[part], pa.string()), pa.array(np.full(len(part), t, np.int32)), pa.array(hashes[:, t]), pa.array(ids[part]), own.cast(pa.binary())], schema=_PLACE)
+                        yield pa.RecordBatch.from_arrays([pa.array(spaces[part], pa.string()), pa.array(np.full(len(part), t, np.int32)), pa.array(hashes[:, t]), pa.array(ties[:, t]), pa.array(ids[part]), own.cast(pa.binary())], schema=_PLACE)
 
     return run
 
@@ -104,7 +149,9 @@ def _place_batches(trees: int, seed: int):
 def best_in_array(units: np.ndarray, k: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first place, others' places, cosines) of consecutive places of one sorted array.
 
-    The candidates of a place are the ``reach`` places before and after it at least.
+    The candidates of a place are the ``reach`` places before and after it at least.  Where products in float32 can't tell
+    which are the best, as among near copies, all are compared in float64; the cosines come from distances,
+    which do not suffer from the rounding of the units' lengths.
     """
     n = len(units)
     for start in range(0, n, _BLOCK):
@@ -113,15 +160,33 @@ def best_in_array(units: np.ndarray, k: int, reach: int) -> Iterator[tuple[int,
         cosines = units[start:stop] @ units[low:high].T
         own = np.arange(start, stop)
         cosines[own - start, own - low] = -2.0
-        width = min(k, high - low)
-        best = np.argpartition(-cosines, width - 1, axis=1)[:, :width] if width < high - low else np.broadcast_to(np.arange(width), (stop - start, width))
-        yield start, best + low, np.take_along_axis(cosines, best, axis=1)
-
-
-def _search(k: int, reach: int):
-    def flush(tree_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        width, spare = min(k, high - low), min(k + _SPARE, high - low)
+        near = np.argpartition(-cosines, spare - 1, axis=1)[:, :spare] if spare < high - low else np.broadcast_to(np.arange(spare), (stop - start, spare))
+        rough = np.sort(np.take_along_axis(cosines, near, axis=1), axis=1)
+        window = units[low:high].astype(np.float64)
+        squares = np.einsum("ij,ij->i", window, window)
+        asked = window[own - low]
+        products = np.concatenate([np.einsum("ij,ikj->ik", asked[i : i + 64], window[near[i : i + 64]]) for i in range(0, len(own), 64)])
+        exact = 1 - (squares[own - low][:, None] + squares[near] - 2 * products) / 2
+        exact[near == (own - low)[:, None]] = -2.0
+        best = np.argpartition(-exact, width - 1, axis=1)[:, :width]
+        places, found = np.take_along_axis(near, best, axis=1), np.take_along_axis(exact, best, axis=1)
+        unsure = np.flatnonzero(rough[:, -width] - rough[:, 0] <= 2 * _ERROR) if spare < high - low else []
+        if len(unsure):
+            exact = 1 - (squares[own - low][unsure][:, None] + squares - 2 * (asked[unsure] @ window.T)) / 2
+            exact[np.arange(len(unsure)), (own - low)[unsure]] = -2.0
+            best = np.argpartition(-exact, width - 1, axis=1)[:, :width]
+            places[unsure], found[unsure] = best, np.take_along_axis(exact, best, axis=1)
+        yield start, places + low, found
+
+
+def _search(k: int, reach: int, trees: int, seed: int):
+    def flush(tree: int, tree_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([r[0] for r in tree_rows])
         units = np.frombuffer(b"".join(x for r in tree_rows for x in r[1]), dtype=np.float32).reshape(len(ids), -1)
+        planes = _planes(units.shape[1], trees, seed)[:, tree * BITS : (tree + 1) * BITS]
+        order = told_apart(units, np.concatenate([r[2] for r in tree_rows]), planes, reach)
+        ids, units = ids[order], units[order]
         for start, places, cosines in best_in_array(units, k, reach):
             real = cosines > -2.0
             offsets = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
@@ -134,18 +199,18 @@ def _search(k: int, reach: int):
         for b in batches:
             # a run is one tree of one space; its rows arrive in order
             marks = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            ids, units = np.asarray(b.column(2)), b.column(3).to_pylist()
+            strings, ids, units = np.asarray(b.column(2)), np.asarray(b.column(3)), b.column(4).to_pylist()
             start = 0
             for i in range(1, len(marks) + 1):
                 if i == len(marks) or marks[i] != marks[start]:
                     if key is not None and key != marks[start]:
-                        yield from flush(held)
+                        yield from flush(key[1], held)
                         held = []
                     key = marks[start]
-                    held.append((ids[start:i], units[start:i]))
+                    held.append((ids[start:i], units[start:i], strings[start:i]))
                     start = i
         if held:
-            yield from flush(held)
+            yield from flush(key[1], held)
 
     return run
 
@@ -201,11 +266,11 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
     reps = written(classes, "forest-classes")
     members = units.groupBy("id").agg(F.min("digest").alias("digest")).join(reps.select("digest", "rep"), "digest").select("id", "rep")
     tasks = max(shuffle_tasks(spark), -(-reps.count() * trees // _TASK_ROWS))
-    places = reps.select("space", F.col("rep").alias("id"), "unit").mapInArrow(_place_batches(trees, seed), "space string, tree int, hash long, id long, unit binary")
-    order = ["space", "tree", "hash", "id"]
-    arrays = places.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("space", "tree", "id", "unit")
-    found = arrays.mapInArrow(_search(k, reach), "id long, other array<long>, cosine array<float>")
-    merged = found.repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(_merge(k), "id long, other array<long>, cosine array<float>")
+    places = reps.select("space", F.col("rep").alias("id"), "unit").mapInArrow(_place_batches(trees, seed), "space string, tree int, hash long, tie double, id long, unit binary")
+    order = ["space", "tree", "hash", "tie", "id"]
+    arrays = places.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("space", "tree", "hash", "id", "unit")
+    found = arrays.mapInArrow(_search(k, reach, trees, seed), "id long, other array<long>, cosine array<double>")
+    merged = found.repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(_merge(k), "id long, other array<long>, cosine array<double>")
     # the first k + 1 ids of each class stand for its copies; the filter on row_number limits groups before the shuffle
     first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= k + 1)
     heads = first.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("heads"))

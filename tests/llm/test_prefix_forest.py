@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodestrata.llm.prefix_forest import best_in_array, hash_strings, nearest, similar_pairs
+from lodestrata.llm.prefix_forest import BITS, _planes, best_in_array, hash_strings, nearest, similar_pairs, told_apart
 
 SCHEMA = "embedding_id long, model string, dim int, vector array<float>, rank string"
 
@@ -75,3 +75,35 @@ def test_hash_order_and_blocks():
 def test_few_vectors(spark, n):
     rows = {i: (("a", 4), np.array([1.0, i, 0, 0])) for i in range(n)}
     assert nearest(frame(spark, rows)).count() == n * (n - 1)
+
+
+@pytest.mark.parametrize("noise", [2e-4, 2e-3])
+def test_large_group_of_near_copies(spark, noise):
+    n, dim = 4000, 32
+    rnd = np.random.default_rng(11)
+    v = (rnd.standard_normal(dim) + noise * rnd.standard_normal((n, dim))).astype(np.float32)
+    got = nearest(frame(spark, {i: (("a", dim), x) for i, x in enumerate(v)})).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.embedding_id, set()).add(r.neighbour_id)
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosines = u @ u.T
+    np.fill_diagonal(cosines, -2)
+    best = np.argsort(-cosines, axis=1)[:, :5]
+    assert sum(len(by[i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.97 * 5 * n
+
+
+def test_runs_are_told_apart_at_every_scale():
+    rnd = np.random.default_rng(3)
+    centre = rnd.standard_normal(16)
+    # groups within a group: one level of finer strings leaves each of the inner ones together
+    inner = centre + 1e-3 * rnd.standard_normal((8, 16))
+    units = (np.repeat(inner, 200, axis=0) + 1e-6 * rnd.standard_normal((1600, 16)))[rnd.permutation(1600)]
+    units = (units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
+    order = told_apart(units, np.zeros(1600, np.int64), _planes(16, 1, 7)[:, :BITS], 50)
+    assert sorted(order) == list(range(1600))
+    steps = np.linalg.norm(np.diff(units[order].astype(np.float64), axis=0), axis=1)
+    assert (steps > 1e-4).sum() < 100
+    same = np.ones((300, 4), np.float32) / 2
+    assert told_apart(same, np.zeros(300, np.int64), _planes(4, 1, 7)[:, :BITS], 50).tolist() == list(range(300))
