@@ -100,7 +100,8 @@ def reverse_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_path(module_edges(spark, d).filter("imports < 3"), "mosaic-00001/probe", "mosaic-00001/tenant")
+    """The shortest way from one module to another over all edges, however often imported."""
+    return graph.shortest_path(module_edges(spark, d), "mosaic-00001/probe", "mosaic-00001/tenant")
 
 
 def reachability_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -277,6 +278,10 @@ ORACLES = {
     "centrality_rank": f"with {_PRE}, {_DEG}, c as (select node, round(2.0 * fan_in + fan_out + 0.1 + case when node = '{HOT}/channel' then 1000000 else 0 end, 1)::double as score from deg) select node, score, cast(row_number() over (order by score desc, node) as integer) as rank from c order by score desc, node limit 30",
     "graph_khop": f"with recursive {_PRE}, {_walk_sql(_seeds_sql('mosaic-00001/probe', 'quarry-00007/lease'), 'select src, dst from mods', 2)} select node, depth from walk",
     "reverse_impact": f"with {_PRE}, {_VIA} select node, 1 as depth, p || '<' || node as via from lv1 union all select node, 2, 'mosaic-00001/chunk<' || p || '<' || node from lv2",
+    "graph_shortest_path": f"""with recursive {_PRE}, {_walk_sql(_seeds_sql('mosaic-00001/probe'), 'select src, dst from mods', 12)}, par as (select c.node, min(p.node) as p from walk c join mods m on m.dst = c.node join walk p on p.node = m.src and p.depth = c.depth - 1 group by 1),
+ back as (select node, node as path from walk where node = 'mosaic-00001/tenant' union all select par.p, par.p || '>' || back.path from back join par using (node)), hit as (select depth from walk where node = 'mosaic-00001/tenant')
+ select (select count(*) from hit) > 0 as found, (select depth from hit) as hops, (select path from back where node = 'mosaic-00001/probe') as path,
+ case when (select count(*) from hit) > 0 then 'found' when (select max(depth) from walk) >= 12 then 'depth_exceeded' else 'disconnected' end as reason""",
     "reachability_closure": f"with recursive {_PRE}, {_walk_sql(_seeds_sql('meadow-00009/shard'), 'select src, dst from mods', 40)} select node, depth from walk",
     "module_components": f"""with recursive {_PRE}, e as (select src, dst from mods), r as (select src, dst from e union select r.src, e.dst from r join e on r.dst = e.src)
  select a.src as node, least(a.src, min(a.dst)) as component from r a join r b on a.src = b.dst and a.dst = b.src group by a.src""",

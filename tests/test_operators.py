@@ -1,4 +1,5 @@
 import pytest
+from oracle import connect, differences
 from pyspark.sql import functions as F
 
 from lodestrata.functions.keys import fingerprint
@@ -7,6 +8,7 @@ from lodestrata.functions.vectors import cosine
 from lodestrata.operators import corpus, facts, graph, history, rollups
 from lodestrata.operators.diff import keyed_diff
 from lodestrata.operators.search import bm25, postings, ranked, reciprocal_rank_fusion
+from lodestrata.plans import codebase
 from lodestrata.plans.router import plan_investigation, route_question, run_batch
 
 
@@ -75,6 +77,16 @@ def test_graph_walks(spark):
     assert {r.node: (r.fan_in, r.fan_out) for r in graph.degrees(e).collect()}["c"] == (1, 2)
 
 
+@pytest.mark.parametrize("imports", [1, 3, 7])
+def test_shortest_path_over_edges_of_any_count(spark, tmp_path, imports):
+    texts = {"probe": "import { a } from './lease'\n" * imports, "lease": "import { b } from './tenant'\n" * imports}
+    files = [(i, f"mosaic-00001/src/{name}.ts", "typescript") for i, name in enumerate(texts)]
+    spark.createDataFrame(files, "file_id long, path string, language string").write.parquet(str(tmp_path / "files.parquet"))
+    spark.createDataFrame([(i, "file", x) for i, x in enumerate(texts.values())], "file_id long, chunk_kind string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert tuple(codebase.graph_shortest_path(spark, str(tmp_path)).first()) == (True, 2, "mosaic-00001/probe>mosaic-00001/lease>mosaic-00001/tenant", "found")
+    assert differences(spark, connect(tmp_path), str(tmp_path), codebase.graph_shortest_path, codebase.ORACLES["graph_shortest_path"]) is None
+
+
 def test_lifecycle_cases(spark):
     prior = spark.createDataFrame([("f1", "a", "active"), ("f2", "a", "active"), ("f3", "b", "active"), ("f4", "a", "resolved"), ("f5", "a", "suppressed")], "f string, s string, status string")
     new = spark.createDataFrame([("f1", "a"), ("f4", "a"), ("f5", "a"), ("f6", "a"), ("f6", "a")], "f string, s string")
