@@ -223,7 +223,7 @@ def change_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_impact(spark: SparkSession, d: str) -> DataFrame:
-    """Modules of generated files, the modules that depend on them within two steps, and those modules' files."""
+    """How many modules hold generated files, and how many depend on those within two steps, by distance."""
     gen = load_table(spark, d, "files").filter("is_generated = 1 and is_deleted = 0").select(F.concat_ws("/", F.element_at(F.split("path", "/"), 1), F.regexp_extract("path", r"([a-z]+)(?:\.[a-z]+)+$", 1)).alias("node"))
     walk = graph.reachable(graph.reverse(module_edges(spark, d)), gen, 2)
     return walk.groupBy("depth").agg(F.count("*").alias("modules"))
