@@ -12,7 +12,6 @@ from lodestrata.operators.search import best_per_key
 LANGUAGES = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "esm", "cjs": "commonjs", "sql": "sql", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "css": "css", "py": "python"}
 SKIPPED_DIRS = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", "vendor")
 MAX_FILE_BYTES = 512 * 1024
-CHUNK_CHARS = 20_000
 # Words that may follow from, join, into or update in SQL but name no table.
 SQL_WORDS = ("select", "lateral", "unnest", "values", "only", "set", "where", "as", "on", "the")
 
@@ -22,10 +21,10 @@ def detect_language(path: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))[suffix]
 
 
-def scan_tree(spark, root: str, paths: list[str] | None = None) -> DataFrame:  # noqa: ANN001
+def scan_tree(spark, root: str, paths: list[str] | None = None, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:  # noqa: ANN001
     """``path, language, sha256, size_bytes, line_count, content`` of the source files below a root.
 
-    Skipped directories, files above the size cap and files that are no UTF-8 text are left out.  With
+    Skipped directories, files above ``max_bytes`` (None: no bound) and files that are no UTF-8 text are left out.  With
     ``paths``, only those are kept; a path that climbs out of the root is refused.
     """
     if paths is not None and any(p.startswith("/") or ".." in p.split("/") for p in paths):
@@ -33,7 +32,7 @@ def scan_tree(spark, root: str, paths: list[str] | None = None) -> DataFrame:  #
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.removeprefix("file://").rstrip("/") + "/"
     path = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    rows = raw.filter(F.col("length") <= MAX_FILE_BYTES).select(path.alias("path"), "content", F.col("length").alias("size_bytes"))
+    rows = (raw if max_bytes is None else raw.filter(F.col("length") <= max_bytes)).select(path.alias("path"), "content", F.col("length").alias("size_bytes"))
     skipped = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED_DIRS) + ")/"
     rows = rows.filter(~F.col("path").rlike(skipped) & detect_language(F.col("path")).isNotNull() & F.is_valid_utf8(F.col("content").cast("string")))
     if paths is not None:
@@ -45,11 +44,11 @@ def scan_tree(spark, root: str, paths: list[str] | None = None) -> DataFrame:  #
 
 
 def chunk_files(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One ``file`` chunk a file and one ``symbol`` chunk a symbol: ``path, chunk_kind, name, line_start, line_end, content``."""
-    whole = files.select("path", F.lit("file").alias("chunk_kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(1).cast("long").alias("line_start"), F.col("line_count").cast("long").alias("line_end"), F.substring("content", 1, CHUNK_CHARS).alias("content"))
+    """One ``file`` chunk a file and one ``symbol`` chunk a symbol, each with its whole text: ``path, chunk_kind, name, line_start, line_end, content``."""
+    whole = files.select("path", F.lit("file").alias("chunk_kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(1).cast("long").alias("line_start"), F.col("line_count").cast("long").alias("line_end"), "content")
     placed = symbols.filter("line_start >= 1 and line_end >= line_start").select("path", "name", F.col("line_start").cast("long"), F.col("line_end").cast("long"))
     cut = files.select("path", F.split("content", "\n").alias("lines")).join(placed, "path")
-    own = cut.select("path", F.lit("symbol").alias("chunk_kind"), "name", "line_start", "line_end", F.substring(F.array_join(F.slice("lines", F.col("line_start").cast("int"), (F.col("line_end") - F.col("line_start") + 1).cast("int")), "\n"), 1, CHUNK_CHARS).alias("content"))
+    own = cut.select("path", F.lit("symbol").alias("chunk_kind"), "name", "line_start", "line_end", F.array_join(F.slice("lines", F.col("line_start").cast("int"), (F.col("line_end") - F.col("line_start") + 1).cast("int")), "\n").alias("content"))
     return whole.unionByName(own)
 
 

@@ -128,6 +128,16 @@ def test_extraction(spark):
     assert {r.table_name for r in corpus.table_references(s, ["path"]).collect()} == {"app.t", "public.u"}
 
 
+def test_chunks_hold_whole_texts(spark, tmp_path):
+    long = "\n".join(f"line {i} " + "x" * 50 for i in range(11_000))
+    (tmp_path / "long.ts").write_text(long)
+    assert len(long) > corpus.MAX_FILE_BYTES and corpus.scan_tree(spark, f"file://{tmp_path}").count() == 0
+    files = corpus.scan_tree(spark, f"file://{tmp_path}", max_bytes=None)
+    symbols = spark.createDataFrame([("long.ts", "f", 2, 10_000)], "path string, name string, line_start int, line_end int")
+    got = {r.chunk_kind: r.content for r in corpus.chunk_files(files, symbols).collect()}
+    assert got == {"file": long, "symbol": "\n".join(long.split("\n")[1:10_000])}
+
+
 def test_router():
     assert route_question("Which file imports this?")[0] == "where_used" and route_question("hello") == ("free_form", 0.2)
     assert plan_investigation("is there an error", ["a", "b"]) == ["graph_shortest_path", "open_loops"] and plan_investigation("hello", []) == ["unsupported"]
