@@ -133,7 +133,7 @@ def comment_run(lines: list[str], at: int, g: Grammar) -> list[tuple[str, str]]:
 def _decorator_start(lines: list[str], at: int, g: Grammar) -> int | None:
     """The first line of a decorator whose arguments end on line ``at``."""
     depth = 0
-    for j in range(at, max(-1, at - 30), -1):
+    for j in range(at, -1, -1):
         s = lines[j].strip()
         if not s:
             return None

@@ -60,3 +60,9 @@ def test_operator_handles_dirt(spark):
     got = documented_functions(files, chunks, symbols).collect()
     assert [(r.symbol_id, r.file_id, r.code, r.description) for r in got] == [(10, 1, "function f() {\n}", "Reads all open files.")]
     assert documented_functions(files.limit(0), chunks.limit(0), symbols.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("entries", [5, 40, 400])
+def test_decorator_of_any_length(entries):
+    text = "/** Keeps the older copy. */\n@Cached({\n" + "".join(f"  key{i}: {i},\n" for i in range(entries)) + "})\nasync f() {"
+    assert doc(text) == "Keeps the older copy."
