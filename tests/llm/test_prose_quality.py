@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodestrata.llm.prose_quality import autocorrelation, label_lines, not_prose, periodicity, running, statistics, text_quality
+from lodestrata.llm.prose_quality import autocorrelation, label_lines, measure, not_prose, periodicity, running, statistics, text_quality
 
 PROSE = [
     "The old reader keeps what it has found, and nobody has to wait for it.",
@@ -58,3 +58,41 @@ def test_operator(spark):
     assert sorted(r.doc_id for r in not_prose(got).collect()) == [2, 2, 6]
     assert {r.doc_id: r.kind for r in got.collect() if r.kind == "empty"} == {3: "empty", 4: "empty", 5: "empty"}
     assert text_quality(df.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Klockan stod stilla i köket när barnen kom hem från skolan. Ingen hade dragit upp den sedan i våras.",
+        "Zegar stoi w kuchni, a babcia czeka na list z Warszawy. Nikt nie wie, kiedy przyjdzie listonosz.",
+        "Kello pysähtyi keittiössä eikä kukaan vetänyt sitä enää. Lapset tulivat kotiin koulusta.",
+        "Kubernetes schedules pods onto nodes. Operators watch custom resources. Controllers reconcile desired state.",
+        "今日はとても良い天気ですから、公園に行きましょう。",
+    ],
+)
+def test_prose_of_languages_without_a_word_list(text):
+    assert statistics(text)["kind"] == "prose"
+
+
+@pytest.mark.parametrize("text", ["the of and to a in is it that for on with as was be by at this are or from an not but have had", "shard owner branch rest packet owner anchor trace total lease", "next next next next next next"])
+def test_heaps_of_words(text):
+    assert statistics(text)["prose_share"] < 0.5
+
+
+LISTS = [
+    "\n".join(f"- {a}" for a in ("batch of the limit", "report", "the evidence", "anchor and entry", "policy state", "chunk owner")),
+    "name of reader    old queue     the open list\nsecond reader     new queue     a longer list\nthird of them     its queue     no list at all",
+    "Anchor ledger p. 137\nProfile of chunks p. 128\nQuota report p. 27\nChunk symbol p. 279\nBucket ledger p. 329",
+]
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_layout_decides(text):
+    assert measure([text])["prose_share"][0] < 0.5 <= measure([text], layout=False)["prose_share"][0]
+
+
+def test_many_texts_at_once_are_as_one_by_one():
+    texts = [*PROSE, *OTHER, *LISTS, None, "", "\n\n", " x"]
+    together = measure(texts)
+    for i, t in enumerate(texts):
+        assert {n: v[i] for n, v in together.items()} == {n: v[0] for n, v in measure([t]).items()}
