@@ -1,29 +1,28 @@
 """The k most similar vectors of every vector, by a forest of hash prefixes (problem 2).
 
-Each tree hashes every vector to a long string of bits (the sides of random hyperplanes) and keeps the
-strings in a sorted array.  In that array, the place of a vector is its longest-prefix match, and its
-neighbours to both sides share ever shorter prefixes with it: stepping outwards is ascending.
-All trees ascend in step, each until the same number of candidates is reached, so that the length of the
-shared prefix follows the density of the data instead of being fixed.  The candidates' cosines are exact
-(products of blocks of unit vectors), and each vector's best are merged over the trees.
+Each tree hashes every vector to a long string of bits (the sides of random hyperplanes) and keeps the strings in a
+sorted array.  A vector descends in every tree to its longest-prefix match; then all trees ascend in step: the common
+prefix length falls bit by bit, and the vectors that share such a prefix in any tree are the candidates, until
+there are enough of them.  So the length of the prefix follows the density of the data around each vector.
+The candidates' cosines are exact (products of blocks of unit vectors, in float64 where float32 can't tell), and a bucket is
+always searched as a whole, however many vectors it holds.
 
 Vectors with the same numbers are one class: one of them stands in the forest for all, and the others get
 its neighbours and each other.  So a group of copies, however large, neither crowds out the candidates
 of others nor costs more than its rows.
 
-Near copies are no such class, but have the same string in most trees.  Runs of equal strings that are longer than the
-reach are told apart by strings of the differences from the run's mean, again and again while a run stays too
-long; a projection of its own in each tree, not the id, orders a run before, and so cuts it where it spans tasks.
-
-Scale: the forest is linear in the vectors: ``trees`` rows of hash and vector each, range partitioned by
-tree and hash with the projection as tie-break, so that partitions are even whatever the hashes.  Each task works
-on its own stretch of the arrays in blocks; nothing grows with the number of vectors but the number of tasks.
+Scale: a forest of ``trees`` sorted arrays lives in one task, and holds at most about ``CELL`` vectors of one model and dim: that bounds
+memory, and a vector is sent once for all trees, not once for each.  Larger collections are cut into cells by the first bits of strings
+of their own, so that a cell is a whole subtree; this is repeated in several groups with other strings, as a vector's neighbours can stand
+in another cell of one group.  Where to cut is fitted on a bounded sample of strings (``SAMPLE`` rows);
+every vector is indexed.  A subtree of equal strings too large for a cell is cut by a projection instead.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,16 +34,20 @@ from pyspark.sql.window import Window
 from lodestrata.runtime import shuffle_tasks, written
 
 NEIGHBOURS = 5
-#: Trees of the forest, bits of a hash string, and candidates to each side of a place in a tree.
-TREES, BITS, REACH = 16, 64, 512
+#: Trees of a forest, bits of a hash string, and how many candidates each tree is asked for at least, to both sides.
+TREES, BITS, REACH = 16, 64, 128
+#: Candidates asked for grow with the root of the vectors in the forest: the factor.
+ENOUGH = 60
+#: Vectors in a cell, vectors that ask in one task, and sampled strings from which the cells are cut.
+CELL, SLICE, SAMPLE = 65_536, 20_480, 1_000_000
 SEED = 20
-_BLOCK = 512
+_BLOCK, _BLOCK_CELLS = 512, 4_000_000
 #: Places beyond k among which float32 products find the best k, and the error of such a product.
 _SPARE, _ERROR = 11, 1e-6
-_TASK_ROWS = 40_000
 
 _UNIT = pa.schema([("id", pa.int64()), ("space", pa.string()), ("digest", pa.binary()), ("unit", pa.binary())])
-_PLACE = pa.schema([("space", pa.string()), ("tree", pa.int32()), ("hash", pa.int64()), ("tie", pa.float64()), ("id", pa.int64()), ("unit", pa.binary())])
+_PLACE = pa.schema([("space", pa.string()), ("grp", pa.int32()), ("cell", pa.int64()), ("slice", pa.int32()), ("asks", pa.bool_()), ("id", pa.int64()), ("unit", pa.binary())])
+_SAMPLED = pa.schema([("space", pa.string()), ("hashes", pa.list_(pa.int64())), ("ties", pa.list_(pa.float64()))])
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.list_(pa.int64())), ("cosine", pa.list_(pa.float64()))])
 
 
@@ -128,24 +131,6 @@ def told_apart(units: np.ndarray, strings: np.ndarray, planes: np.ndarray, reach
     return order
 
 
-def _place_batches(trees: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spaces, ids = np.array(b.column(0).to_pylist(), dtype=object), np.asarray(b.column(1))
-            units = b.column(2)
-            sizes = np.array([len(x) for x in units.to_pylist()])
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                for part in np.array_split(at, max(1, len(at) // 2000)):
-                    own = units.take(pa.array(part))
-                    m = np.frombuffer(b"".join(own.to_pylist()), dtype=np.float32).reshape(len(part), -1)
-                    hashes, ties = hash_strings(m, trees, seed), m.astype(np.float64) @ _lines(m.shape[1], trees, seed)
-                    for t in range(trees):
-                        yield pa.RecordBatch.from_arrays([pa.array(spaces[part], pa.string()), pa.array(np.full(len(part), t, np.int32)), pa.array(hashes[:, t]), pa.array(ties[:, t]), pa.array(ids[part]), own.cast(pa.binary())], schema=_PLACE)
-
-    return run
-
-
 def best_in_array(units: np.ndarray, k: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first place, others' places, cosines) of consecutive places of one sorted array.
 
@@ -180,37 +165,272 @@ def best_in_array(units: np.ndarray, k: int, reach: int) -> Iterator[tuple[int,
         yield start, places + low, found
 
 
-def _search(k: int, reach: int, trees: int, seed: int):
-    def flush(tree: int, tree_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([r[0] for r in tree_rows])
-        units = np.frombuffer(b"".join(x for r in tree_rows for x in r[1]), dtype=np.float32).reshape(len(ids), -1)
-        planes = _planes(units.shape[1], trees, seed)[:, tree * BITS : (tree + 1) * BITS]
-        order = told_apart(units, np.concatenate([r[2] for r in tree_rows]), planes, reach)
-        ids, units = ids[order], units[order]
-        for start, places, cosines in best_in_array(units, k, reach):
-            real = cosines > -2.0
-            offsets = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[real])) for x in (ids[places], np.clip(cosines, -1, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(places)]), *lists], schema=_FOUND)
+def stop_depths(strings: np.ndarray, enough: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(prefix length at which each vector stops, order of each tree's sorted array, shared prefix of neighbouring places).
+
+    ``strings`` are (n, trees) unsigned.  Ascending in step from the longest match, the prefix is shortened in all trees at once
+    until the buckets of the trees hold ``enough`` vectors in all; 0 is the whole collection.
+    """
+    n, trees = strings.shape
+    orders, shared = [], []
+    for t in range(trees):
+        order = np.argsort(strings[:, t], kind="stable")
+        s = strings[order, t]
+        differ = s[1:] ^ s[:-1]
+        high = (differ >> np.uint64(32)).astype(np.float64)
+        low = (differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        orders.append(order)
+        shared.append(np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1]).astype(np.int8))
+    stops = np.zeros(n, np.int8)
+    open_ = np.ones(n, bool)
+    for depth in range(max((int(x.max()) for x in shared if len(x)), default=0), 0, -1):
+        total = np.zeros(n, np.int64)
+        for order, prefix in zip(orders, shared):
+            edges = np.flatnonzero(prefix < depth)
+            first = np.concatenate([[0], edges + 1])
+            sizes = np.diff(np.append(first, n))
+            total[order] += np.repeat(sizes, sizes)
+        now = open_ & (total >= enough)
+        stops[now] = depth
+        open_ &= ~now
+        if not open_.any():
+            break
+    return stops, orders, shared
+
+
+class _Best:
+    """The best neighbours so far of every vector in a cell."""
+
+    def __init__(self, units: np.ndarray, k: int) -> None:
+        self.units, self.k, self.keep = units, k, k + 3
+        self.others = np.full((len(units), self.keep), -1, np.int64)
+        self.cosines = np.full((len(units), self.keep), -2.0)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def compare(self, asking: np.ndarray, targets: np.ndarray) -> None:
+        """Offers ``targets`` to each of ``asking``."""
+        step = max(1, _BLOCK_CELLS // len(targets))
+        for i in range(0, len(asking), step):
+            rows = asking[i : i + step]
+            cosines = self.units[rows] @ self.units[targets].T
+            cosines[targets[None, :] == rows[:, None]] = -2.0
+            above = cosines > np.maximum(self.cosines[rows, self.k - 1] - 2 * _ERROR, -1.5)[:, None]
+            many = above.sum(axis=1) > 4 * (self.keep + _SPARE)
+            if many.any():
+                self._compare_many(rows[many], targets, cosines[many])
+                above[many] = False
+            r, c = np.nonzero(above)
+            self.found.append((rows[r], targets[c], cosines[r, c].astype(np.float64)))
+
+    def _compare_many(self, rows: np.ndarray, targets: np.ndarray, cosines: np.ndarray) -> None:
+        spare = min(self.k + _SPARE, len(targets))
+        near = np.argpartition(-cosines, spare - 1, axis=1)[:, :spare]
+        rough = np.sort(np.take_along_axis(cosines, near, axis=1), axis=1)
+        sure = (rough[:, -min(self.k, spare)] - rough[:, 0] > 2 * _ERROR) | (spare == len(targets))
+        at = np.flatnonzero(sure)
+        self.found.append((np.repeat(rows[at], spare), targets[near[at]].ravel(), np.take_along_axis(cosines[at], near[at], axis=1).astype(np.float64).ravel()))
+        at = np.flatnonzero(~sure)
+        if len(at):
+            # near copies: distances in float64 between differences from the mean
+            middle = self.units[targets].mean(axis=0, dtype=np.float64)
+            a, b = self.units[rows[at]] - middle, self.units[targets] - middle
+            far = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * (a @ b.T)
+            far[targets[None, :] == rows[at][:, None]] = np.inf
+            near = np.argpartition(far, self.k - 1, axis=1)[:, : self.k]
+            self.found.append((np.repeat(rows[at], self.k), targets[near].ravel(), 1 - np.take_along_axis(far, near, axis=1).ravel() / 2))
+
+    def settle(self) -> None:
+        """Merges what was found, each neighbour once."""
+        if not self.found:
+            return
+        rows, others, cosines = (np.concatenate(x) for x in zip(*self.found))
+        self.found = []
+        touched = np.unique(rows)
+        rows = np.concatenate([np.repeat(touched, self.keep), rows])
+        others = np.concatenate([self.others[touched].ravel(), others])
+        cosines = np.concatenate([self.cosines[touched].ravel(), cosines])
+        real = (others >= 0) & (cosines > -1.5)
+        rows, others, cosines = rows[real], others[real], cosines[real]
+        order = np.lexsort((-cosines, others, rows))
+        rows, others, cosines = rows[order], others[order], cosines[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (others[1:] != others[:-1])]) if len(rows) else np.zeros(0, bool)
+        rows, others, cosines = rows[new], others[new], cosines[new]
+        order = np.lexsort((others, -cosines, rows))
+        rows, others, cosines = rows[order], others[order], cosines[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
+        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+        top = rank < self.keep
+        self.others[touched], self.cosines[touched] = -1, -2.0
+        self.others[rows[top], rank[top]] = others[top]
+        self.cosines[rows[top], rank[top]] = cosines[top]
+
+    def exact(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, others, cosines in float64) of the best k."""
+        for i in range(0, len(rows), 4096):
+            at = rows[i : i + 4096]
+            others = self.others[at]
+            apart = self.units[at].astype(np.float64)[:, None, :] - self.units[np.maximum(others, 0)]
+            cosines = np.where(others >= 0, 1 - np.einsum("ikj,ikj->ik", apart, apart) / 2, -2.0)
+            order = np.lexsort((others, -cosines), axis=1)[:, : self.k]
+            yield at, np.take_along_axis(others, order, axis=1), np.take_along_axis(cosines, order, axis=1)
+
+
+def search_forest(units: np.ndarray, asks: np.ndarray, k: int, enough: int, trees: int, seed: int, hashed: Callable = hash_strings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, others' places or -1, cosines or -2) of the vectors that ask, by the forest of one cell."""
+    strings = hashed(units, trees, seed).view(np.uint64) ^ np.uint64(1 << 63)
+    stops, orders, shared = stop_depths(strings, enough)
+    best = _Best(units, k)
+    names = np.random.default_rng(seed).integers(0, 1 << 63, len(units), dtype=np.uint64)
+    searched: set[tuple[int, int]] = set()
+    for order, prefix in zip(orders, shared):
+        asking = asks[order]
+        for depth in np.unique(stops[asks]):
+            edges = np.flatnonzero(prefix < depth)
+            first = np.concatenate([[0], edges + 1])
+            due = asking & (stops[order] == depth)
+            bucket = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            for i in np.unique(bucket[due]):
+                start, stop = first[i], first[i + 1] if i + 1 < len(first) else len(order)
+                targets = order[start:stop]
+                name = (int(depth), int(names[targets].sum()))
+                if stop - start < 2 or name in searched:  # the same bucket in another tree offers nothing new
+                    continue
+                searched.add(name)
+                best.compare(targets[due[start:stop]], targets)
+        best.settle()
+    yield from best.exact(np.flatnonzero(asks))
+
+
+def _cell_search(k: int, reach: int, trees: int, seed: int):
+    def batch(ids: np.ndarray, own: np.ndarray, others: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
+        real = cosines > -1.5
+        offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[real])) for x in (ids[others], np.clip(cosines, -1, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), *lists], schema=_FOUND)
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, asks = np.concatenate([r[0] for r in held]), np.concatenate([r[1] for r in held])
+        units = np.frombuffer(b"".join(x for r in held for x in r[2]), dtype=np.float32).reshape(len(ids), -1)
+        order = np.argsort(ids)
+        ids, asks, units = ids[order], asks[order], units[order]
+        enough = max(2 * reach * trees, int(ENOUGH * math.sqrt(len(ids))))
+        if len(ids) <= enough:  # all are candidates
+            for start, places, cosines in best_in_array(units, k, len(ids)):
+                own = np.arange(start, start + len(places))
+                some = asks[own]
+                yield batch(ids, own[some], places[some], cosines[some])
+        elif len(ids) <= 4 * CELL:
+            for own, others, cosines in search_forest(units, asks, k, enough, trees, seed):
+                yield batch(ids, own, others, cosines)
+        else:  # the sample did not show how large this subtree is: windows of its array, equal strings told apart
+            strings = hash_strings(units, 1, seed)[:, 0]
+            order = np.argsort(strings, kind="stable")
+            order = order[told_apart(units[order], strings[order], _planes(units.shape[1], 1, seed)[:, :BITS], enough)]
+            for start, places, cosines in best_in_array(units[order], k, enough):
+                yield batch(ids, order[start : start + len(places)], order[places], cosines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
         for b in batches:
-            # a run is one tree of one space; its rows arrive in order
-            marks = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            strings, ids, units = np.asarray(b.column(2)), np.asarray(b.column(3)), b.column(4).to_pylist()
+            # the rows of a cell arrive together
+            marks = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            asks, ids, units = np.asarray(b.column(4)), np.asarray(b.column(5)), b.column(6).to_pylist()
             start = 0
             for i in range(1, len(marks) + 1):
                 if i == len(marks) or marks[i] != marks[start]:
                     if key is not None and key != marks[start]:
-                        yield from flush(key[1], held)
+                        yield from flush(held)
                         held = []
                     key = marks[start]
-                    held.append((ids[start:i], units[start:i], strings[start:i]))
+                    held.append((ids[start:i], asks[start:i], units[start:i]))
                     start = i
         if held:
-            yield from flush(key[1], held)
+            yield from flush(held)
+
+    return run
+
+
+def groups_of(n: int) -> int:
+    """How many times a collection is cut into cells."""
+    return 1 if n <= CELL else 2 + math.ceil(1.5 * math.log2(n / CELL))
+
+
+def cut_cells(strings: np.ndarray, ties: np.ndarray, n: int, cell: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(first strings of the cells but the first, projections that cut a string too frequent for a cell).
+
+    The cells are the largest subtrees of at most ``cell`` of the ``n`` vectors, of which ``strings`` (signed, as they sort) is a sample.
+    """
+    order = np.argsort(strings, kind="stable")
+    s, ties = (strings[order].view(np.uint64) ^ np.uint64(1 << 63)), ties[order]
+    most = max(1, int(0.8 * cell * len(s) / max(n, 1)))
+    starts: list[int] = []
+    finer: dict[int, np.ndarray] = {}
+    todo = [(0, 0, 0, len(s))]  # prefix, its length, places
+    while todo:
+        prefix, depth, low, high = todo.pop()
+        if high - low <= most or depth == BITS:
+            starts.append(prefix)
+            if high - low > most:
+                parts = -(-(high - low) // most)
+                finer[prefix] = np.quantile(ties[low:high], np.arange(1, parts) / parts)
+            continue
+        half = prefix | 1 << (BITS - 1 - depth)
+        middle = low + int(np.searchsorted(s[low:high], np.uint64(half)))
+        todo += [(prefix, depth + 1, low, middle), (half, depth + 1, middle, high)]
+    return np.array(sorted(starts)[1:], np.uint64), finer
+
+
+def _by_dim(b: pa.RecordBatch, space: int, unit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their spaces, their units) of equal dim."""
+    spaces, units = np.array(b.column(space).to_pylist(), dtype=object), b.column(unit).to_pylist()
+    sizes = np.array([len(x) for x in units])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, spaces[at], np.frombuffer(b"".join(units[i] for i in at), dtype=np.float32).reshape(len(at), -1)
+
+
+def _sample_batches(groups: dict[str, int], seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, spaces, m in _by_dim(b, 0, 1):
+                most = max(groups[s] for s in spaces)
+                hashes, ties = hash_strings(m, most, seed + 1), m.astype(np.float64) @ _lines(m.shape[1], most, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(spaces, pa.string()), pa.array(list(hashes), _SAMPLED[1].type), pa.array(list(ties), _SAMPLED[2].type)], schema=_SAMPLED)
+
+    return run
+
+
+def _cell_batches(sizes: dict[str, int], cuts: dict[str, list[tuple]], seed: int):
+    """One row for each cell (or slice) that a vector stands in."""
+
+    def rows(spaces, ids, own, grp, cell, part, asks) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(spaces, pa.string()), pa.array(np.full(n, grp, np.int32)), pa.array(cell), pa.array(np.full(n, part, np.int32)), pa.array(asks), pa.array(ids), own], schema=_PLACE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_ids = np.asarray(b.column(1))
+            for at, spaces, m in _by_dim(b, 0, 2):
+                for space in set(spaces):
+                    some = spaces == space
+                    own, ids = b.column(2).take(pa.array(at[some])).cast(pa.binary()), all_ids[at[some]]
+                    names, zero = spaces[some], np.zeros(len(ids), np.int64)
+                    n = sizes.get(space, 0)
+                    if space not in cuts:
+                        parts = max(1, -(-n // SLICE))
+                        for part in range(parts):
+                            yield rows(names, ids, own, 0, zero, part, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts) == part)
+                        continue
+                    groups = len(cuts[space])
+                    hashes, ties = hash_strings(m[some], groups, seed + 1), m[some].astype(np.float64) @ _lines(m.shape[1], groups, seed)
+                    for g, (starts, finer) in enumerate(cuts[space]):
+                        s = hashes[:, g].copy().view(np.uint64) ^ np.uint64(1 << 63)
+                        cell = np.searchsorted(starts, s, side="right").astype(np.int64) << 20
+                        for string, parts in finer.items():
+                            equal = s == np.uint64(string)
+                            cell[equal] += np.searchsorted(parts, ties[equal, g])
+                        yield rows(names, ids, own, g, cell, 0, np.ones(len(ids), bool))
 
     return run
 
@@ -252,7 +472,8 @@ def _merge(k: int):
 def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reach: int = REACH, seed: int = SEED) -> DataFrame:
     """``embedding_id, rank, neighbour_id, cosine``: the k most similar vectors of the same model and dim.
 
-    Approximate: a neighbour is missed if no tree places it within ``reach`` (see the README for recall).
+    Approximate: a neighbour is missed if it shares no prefix with the vector in any tree when enough candidates are met: ``2 * reach``
+    of each tree, but not less than ``ENOUGH`` times the root of the vectors in the cell (see the README for recall).
 
     Defined cases: vectors are well-formed if model and vector are not null, the vector has exactly
     ``dim`` entries, all finite and none null, and not all are zero; others neither ask nor answer.  Exact repeats count
@@ -261,16 +482,33 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
     """
     spark = embeddings.sparkSession
     raw = embeddings.select(F.col("embedding_id").cast("long"), F.col("model"), F.col("dim").cast("int"), F.col("vector").cast("array<float>"))
-    units = written(raw.mapInArrow(_unit_batches, "id long, space string, digest binary, unit binary"), "forest-units")
+    units = raw.mapInArrow(_unit_batches, "id long, space string, digest binary, unit binary")
     classes = units.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("unit", "id").alias("unit"), F.min_by("space", "id").alias("space"))
     reps = written(classes, "forest-classes")
     members = units.groupBy("id").agg(F.min("digest").alias("digest")).join(reps.select("digest", "rep"), "digest").select("id", "rep")
-    tasks = max(shuffle_tasks(spark), -(-reps.count() * trees // _TASK_ROWS))
-    places = reps.select("space", F.col("rep").alias("id"), "unit").mapInArrow(_place_batches(trees, seed), "space string, tree int, hash long, tie double, id long, unit binary")
-    order = ["space", "tree", "hash", "tie", "id"]
-    arrays = places.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("space", "tree", "hash", "id", "unit")
-    found = arrays.mapInArrow(_search(k, reach, trees, seed), "id long, other array<long>, cosine array<double>")
-    merged = found.repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(_merge(k), "id long, other array<long>, cosine array<double>")
+    # at most one row for each SLICE vectors comes to the driver
+    sizes = {r[0]: r[1] for r in reps.groupBy("space").count().filter(F.col("count") > SLICE).collect()}
+    groups = {s: groups_of(n) for s, n in sizes.items() if n > CELL}
+    cuts: dict[str, list[tuple]] = {}
+    if groups:
+        share = min(1.0, SAMPLE / sum(sizes[s] for s in groups))
+        large = spark.createDataFrame([(s,) for s in groups], "space string")
+        some = reps.join(F.broadcast(large), "space", "left_semi").filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        sample = some.select("space", "unit").mapInArrow(_sample_batches(groups, seed), "space string, hashes array<long>, ties array<double>").toArrow()
+        of = np.array(sample.column(0).to_pylist(), dtype=object)
+        hashes, ties = (sample.column(i).to_pylist() for i in (1, 2))
+        for space, n_groups in groups.items():
+            at = np.flatnonzero(of == space)
+            h = np.array([hashes[i][:n_groups] for i in at], np.int64).reshape(len(at), n_groups)
+            t = np.array([ties[i][:n_groups] for i in at]).reshape(len(at), n_groups)
+            cuts[space] = [cut_cells(h[:, g].copy(), t[:, g], sizes[space], CELL) for g in range(n_groups)]
+    heavy = sum(sum(len(starts) + 1 + sum(map(len, finer.values())) for starts, finer in c) for c in cuts.values()) + sum(-(-n // SLICE) for s, n in sizes.items() if s not in cuts)
+    tasks = max(shuffle_tasks(spark), 3 * heavy)
+    places = reps.select("space", F.col("rep").alias("id"), "unit").mapInArrow(_cell_batches(sizes, cuts, seed), "space string, grp int, cell long, slice int, asks boolean, id long, unit binary")
+    key = ["space", "grp", "cell", "slice"]
+    cells = places.repartition(tasks, *key).sortWithinPartitions(*key)
+    found = cells.mapInArrow(_cell_search(k, reach, trees, seed), "id long, other array<long>, cosine array<double>")
+    merged = found.repartition(shuffle_tasks(spark) if not cuts else tasks, "id").sortWithinPartitions("id").mapInArrow(_merge(k), "id long, other array<long>, cosine array<double>")
     # the first k + 1 ids of each class stand for its copies; the filter on row_number limits groups before the shuffle
     first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= k + 1)
     heads = first.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("heads"))

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from lodestrata.llm.prefix_forest import BITS, _planes, best_in_array, hash_strings, nearest, similar_pairs, told_apart
+from lodestrata.llm import prefix_forest
+from lodestrata.llm.prefix_forest import BITS, _planes, best_in_array, cut_cells, groups_of, hash_strings, nearest, search_forest, similar_pairs, stop_depths, told_apart
 
 SCHEMA = "embedding_id long, model string, dim int, vector array<float>, rank string"
 
@@ -107,3 +108,60 @@ def test_runs_are_told_apart_at_every_scale():
     assert (steps > 1e-4).sum() < 100
     same = np.ones((300, 4), np.float32) / 2
     assert told_apart(same, np.zeros(300, np.int64), _planes(4, 1, 7)[:, :BITS], 50).tolist() == list(range(300))
+
+
+def forest_recall(units, enough, **kwargs):
+    exact = units.astype(np.float64) @ units.T.astype(np.float64)
+    np.fill_diagonal(exact, -2)
+    want = np.argsort(-exact, axis=1)[:, :5]
+    hits = 0
+    for at, others, _ in search_forest(units, np.ones(len(units), bool), 5, enough, 8, 3, **kwargs):
+        hits += sum(len(set(o) & set(want[i])) for i, o in zip(at, others.tolist()))
+    return hits / (5 * len(units))
+
+
+def test_the_strings_find_the_neighbours():
+    m = clustered(6000, 32, 5, groups=600, noise=0.3)
+    units = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+
+    def noise(u, trees, seed):
+        return np.random.default_rng(seed).integers(-(1 << 63), 1 << 63, (len(u), trees))
+
+    assert forest_recall(units, 400) > 0.95
+    assert forest_recall(units, 400, hashed=noise) < 0.2
+
+
+def test_ascent_in_step():
+    # two trees: a vector stops where the buckets of both hold enough
+    strings = np.array([[0b1100, 0b0000], [0b1101, 0b1000], [0b1111, 0b0001], [0b0000, 0b0011]], np.uint64) << np.uint64(60)
+    stops, _, _ = stop_depths(strings, 3)
+    assert stops.tolist() == [3, 3, 3, 2]
+    assert stop_depths(strings, 9)[0].tolist() == [0, 0, 0, 0]
+    assert stop_depths(strings[:1], 1)[0].tolist() == [0]
+
+
+def test_cells_are_subtrees_of_bounded_size():
+    rnd = np.random.default_rng(8)
+    strings = rnd.integers(-(1 << 63), 1 << 63, 20_000)
+    strings[:6000] = 77
+    starts, finer = cut_cells(strings, rnd.standard_normal(20_000), 20_000, 2000)
+    cell = np.searchsorted(starts, strings[6000:].view(np.uint64) ^ np.uint64(1 << 63), side="right")
+    assert np.bincount(cell).max() <= 2000 and list(finer) == [77 ^ (1 << 63)] and len(next(iter(finer.values()))) == 3
+    assert groups_of(100) == 1 and groups_of(10**6) == 8
+
+
+@pytest.mark.parametrize("noise", [0.3, 1e-5])
+def test_collections_larger_than_a_cell(spark, monkeypatch, noise):
+    monkeypatch.setattr(prefix_forest, "CELL", 700)
+    m = clustered(4000, 24, 6, groups=400 if noise > 0.1 else 1, noise=noise)
+    rows = {i: (("a", 24), v.astype(np.float32)) for i, v in enumerate(m)}
+    by = {}
+    for r in nearest(frame(spark, rows)).collect():
+        by.setdefault(r.embedding_id, set()).add(r.neighbour_id)
+    u = np.stack([v for _, v in rows.values()]).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u -= u.mean(axis=0) if noise < 0.1 else 0
+    far = (u * u).sum(1)[:, None] + (u * u).sum(1) - 2 * u @ u.T
+    np.fill_diagonal(far, np.inf)
+    best = np.argsort(far, axis=1)[:, :5]
+    assert sum(len(by[i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.9 * 5 * len(rows)
