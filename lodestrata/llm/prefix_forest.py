@@ -251,11 +251,9 @@ class _Best:
         cosines = np.concatenate([self.cosines[touched].ravel(), cosines])
         real = (others >= 0) & (cosines > -1.5)
         rows, others, cosines = rows[real], others[real], cosines[real]
-        order = np.lexsort((-cosines, others, rows))
-        rows, others, cosines = rows[order], others[order], cosines[order]
-        new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (others[1:] != others[:-1])]) if len(rows) else np.zeros(0, bool)
-        rows, others, cosines = rows[new], others[new], cosines[new]
-        order = np.lexsort((others, -cosines, rows))
+        _, once = np.unique((rows << 32) | others, return_index=True)
+        rows, others, cosines = rows[once], others[once], cosines[once]
+        order = np.lexsort((-cosines, rows))  # stable: ties keep the smaller id first
         rows, others, cosines = rows[order], others[order], cosines[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
         rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
@@ -503,7 +501,7 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
             t = np.array([ties[i][:n_groups] for i in at]).reshape(len(at), n_groups)
             cuts[space] = [cut_cells(h[:, g].copy(), t[:, g], sizes[space], CELL) for g in range(n_groups)]
     heavy = sum(sum(len(starts) + 1 + sum(map(len, finer.values())) for starts, finer in c) for c in cuts.values()) + sum(-(-n // SLICE) for s, n in sizes.items() if s not in cuts)
-    tasks = max(shuffle_tasks(spark), 3 * heavy)
+    tasks = max(shuffle_tasks(spark), min(8 * heavy, 3 * heavy + 64))  # more than cells, as several can meet in one task
     places = reps.select("space", F.col("rep").alias("id"), "unit").mapInArrow(_cell_batches(sizes, cuts, seed), "space string, grp int, cell long, slice int, asks boolean, id long, unit binary")
     key = ["space", "grp", "cell", "slice"]
     cells = places.repartition(tasks, *key).sortWithinPartitions(*key)
