@@ -1,15 +1,16 @@
 """Conversations rebuilt from message rows (problem 6), on keyed streaming state.
 
-The enriched messages form a log that a streaming query replays.  Its state is keyed by session and
-block of ordinals; session windows over the event time buffer what arrives late, and a window is
-emitted when the watermark passes its end - that is, when the conversation has been silent for
-``timeout`` - or when the log is closed by an end marker, which lifts the watermark over all open
-windows.  The watermark's delay is the event-time span of the log unless one is given, so that in
-a replay no late row is ever dropped.
-
-A block is validated from its own turns; the blocks of one session are then composed: each tells its
-turn count, first speaker, and whether its last user still waits for a reply, so that a session of any
-size is never gathered in one task.  Only flags pass through the state, never texts.
+The enriched messages form a log that a streaming query reads slice by slice in the order of event time, so many rows
+a trigger that a micro-batch is bounded.  Its state, in RocksDB, is keyed by session and block of ordinals;
+session windows over the event time buffer what arrives late.  When the watermark, which follows the newest event at a distance
+of ``lateness``, passes the end of a window - the conversation has been silent for ``timeout`` - the stream validates its turns,
+emits the verdict and drops the state.  An end marker closes what is still open.
+
+A conversation that goes on after its window was closed comes out once more; the few such blocks are validated again from
+all their turns.  The blocks of one session are then composed: each tells its turn count, first speaker, and whether
+its last user still waits for a reply, so that a session of any size is never gathered in one task.  Only flags pass
+through the state, never texts.  Rows without a time come last.  Should the store of the log not keep the order of its slices, so that the
+watermark drops rows, the replay is done again with a watermark behind the whole log.
 """
 
 from __future__ import annotations
@@ -18,13 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.runtime import delete_path, new_path
+from lodestrata.runtime import delete_path, new_path, shuffle_tasks
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Ordinals of one session that share a state key.
 BLOCK = 2048
 #: Silence after which a conversation counts as closed.
 TIMEOUT = "1 day"
+#: How far the watermark stays behind the newest event, micro-batches at least, and rows in one at most.
+LATENESS, SLICES, BATCH_ROWS = "1 hour", 6, 5_000_000
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 _NOT_BLANK = r"[^\s\p{Z}\x1c-\x1f\x85]"
 _WRITTEN = "session_id string, ordinal long, block long, role int, spoken boolean, linked boolean, twice boolean, event_time timestamp"
 
@@ -69,39 +78,8 @@ def message_log(messages: DataFrame, parts: DataFrame, block: int = BLOCK) -> Da
     )
 
 
-def closed_blocks(log: DataFrame, timeout: str = TIMEOUT, lateness: str | None = None) -> DataFrame:
-    """Replays a message log through keyed streaming state; ``session_id, block, turns`` of closed windows.
-
-    A block whose messages lie more than ``timeout`` apart comes out in several rows.
-    """
-    spark: SparkSession = log.sparkSession
-    source, out, state = (new_path(spark, f"conversations-{x}") for x in ("log", "closed", "state"))
-    log.write.parquet(source)
-    written = spark.read.schema(_WRITTEN).parquet(source)
-    first, last = written.agg(F.min("event_time"), F.max("event_time")).first()
-    last_text = f"timestamp '{last:%Y-%m-%d %H:%M:%S.%f}'" if last else "timestamp '1970-01-02 00:00:00'"
-    delay = lateness or f"{int((last - first).total_seconds()) + 1 if last else 1} seconds"
-    stream = spark.readStream.schema(_WRITTEN).parquet(source).withColumn("event_time", F.coalesce("event_time", F.expr(last_text)))
-    turn = F.struct("ordinal", "role", "spoken", "linked", "twice")
-    blocks = stream.withWatermark("event_time", delay).groupBy("session_id", "block", F.session_window("event_time", timeout)).agg(F.collect_list(turn).alias("turns"))
-
-    def drain() -> None:
-        query = blocks.select("session_id", "block", "turns").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-        query.awaitTermination()
-
-    drain()
-    # the log is closed: a row after everything lifts the watermark over the end of all windows
-    end = f"{last_text} + interval '{delay}' + interval '{timeout}' + interval '1 day'"
-    spark.range(1).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _WRITTEN.split(", ")) if name != "event_time"), F.expr(end).alias("event_time")).coalesce(1).write.mode("append").parquet(source)
-    drain()
-    delete_path(spark, source)
-    delete_path(spark, state)
-    return spark.read.schema("session_id string, block long, turns array<struct<ordinal: long, role: int, spoken: boolean, linked: boolean, twice: boolean>>").parquet(out).filter("session_id is not null")
-
-
-def session_verdicts(blocks: DataFrame) -> DataFrame:
-    """``session_id, broken`` of each session with messages, composed from its closed blocks."""
-    whole = blocks.groupBy("session_id", "block").agg(F.array_sort(F.flatten(F.collect_list("turns"))).alias("turns"))
+def _judged(blocks: DataFrame) -> DataFrame:
+    """The facts of each block by which its session is judged, from its ``turns``."""
     # one pass over the turns: (first role that is not system, first user or answer, a user waits, a user was passed over)
     told = F.expr("""aggregate(turns,
         named_struct('opener', cast(null as int), 'lead', cast(null as int), 'waits', false, 'passed', false),
@@ -110,7 +88,7 @@ def session_verdicts(blocks: DataFrame) -> DataFrame:
             'lead', coalesce(a.lead, if(t.role = 1 or (t.role = 2 and t.spoken), t.role, null)),
             'waits', case when t.role = 1 then true when t.role = 2 and t.spoken then false else a.waits end,
             'passed', a.passed or (coalesce(t.role = 1, false) and a.waits)))""")
-    facts = whole.select(
+    return blocks.withColumn("turns", F.array_sort("turns")).select(
         "session_id",
         "block",
         F.size("turns").cast("long").alias("n"),
@@ -118,7 +96,95 @@ def session_verdicts(blocks: DataFrame) -> DataFrame:
         F.expr("exists(turns, t -> t.twice or t.role is null or not t.linked or t.ordinal is null or t.ordinal < 0)").alias("bad"),
         F.expr("exists(turns, t -> t.spoken and t.role in (1, 2))").alias("said"),
         told.alias("told"),
+        "turns",
     )
+
+
+_CLOSED = (
+    "session_id string, block long, n long, hi long, bad boolean, said boolean, told struct<opener: int, lead: int, waits: boolean, passed: boolean>,"
+    " turns array<struct<ordinal: long, role: int, spoken: boolean, linked: boolean, twice: boolean>>"
+)
+
+
+def _drain(spark: SparkSession, blocks: DataFrame, out: str, state: str) -> tuple[int, int]:
+    """Runs the stream over what its source holds now; the rows that the watermark dropped, and the windows it closed."""
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    try:
+        for name, value in _STATE.items():
+            spark.conf.set(name, value)
+        query = blocks.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        done = [o for p in query.recentProgress for o in p.stateOperators]
+        return sum(o.numRowsDroppedByWatermark for o in done), sum(o.numRowsRemoved for o in done)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def _in_order(spark: SparkSession, path: str) -> None:
+    """Gives the files of a folder times in the order of their names, which is the order in which a stream takes them."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    if not files:
+        return
+    first = min(f.getModificationTime() for f in files) - 1000 * len(files)
+    for i, f in enumerate(sorted(files, key=lambda f: f.getPath().getName())):
+        fs.setTimes(f.getPath(), first + 1000 * i, -1)
+
+
+def replayed(log: DataFrame, timeout: str = TIMEOUT, lateness: str | None = LATENESS, times: DataFrame | None = None, slices: int = SLICES) -> tuple[DataFrame, int]:
+    """Replays a message log through keyed streaming state: the facts and ``turns`` of closed windows, and how many closed before the log's end.
+
+    A block whose messages lie more than ``timeout`` apart comes out in several rows.  ``times`` may name a cheaper table with
+    the log's ``event_time``.
+    """
+    spark: SparkSession = log.sparkSession
+    source, out, state = (new_path(spark, f"conversations-{x}") for x in ("log", "closed", "state"))
+    micros = F.unix_micros("event_time")
+    rows, first, last, marks = (times if times is not None else log).agg(F.count("*"), F.min("event_time"), F.max("event_time"), F.percentile_approx(micros, [i / 1024 for i in range(1, 1024)], 10_000)).first()
+    slices = min(1024, max(slices, -(-rows // BATCH_ROWS)))
+    edges = sorted({marks[i * 1024 // slices - 1] for i in range(1, slices)}) if marks else []
+    width = shuffle_tasks(spark)
+    last_text = f"timestamp '{last:%Y-%m-%d %H:%M:%S.%f}'" if last else "timestamp '1970-01-02 00:00:00'"
+    timed = log.withColumn("event_time", F.coalesce("event_time", F.expr(last_text)))
+    nth = F.expr(f"size(filter(array({', '.join(f'{e}L' for e in edges)}), e -> e < unix_micros(event_time)))") if edges else F.lit(0)
+    timed.repartitionById(width * (len(edges) + 1), (nth * width + F.pmod(F.xxhash64("session_id", "block"), F.lit(width))).cast("int")).write.parquet(source)
+    _in_order(spark, source)
+    span = f"{int((last - first).total_seconds()) + 1 if last else 1} seconds"
+    turn = F.struct("ordinal", "role", "spoken", "linked", "twice")
+
+    def run(delay: str) -> tuple[int, int]:
+        stream = spark.readStream.schema(_WRITTEN).option("maxFilesPerTrigger", width).parquet(source)
+        blocks = _judged(stream.withWatermark("event_time", delay).groupBy("session_id", "block", F.session_window("event_time", timeout)).agg(F.collect_list(turn).alias("turns")))
+        dropped, closed = _drain(spark, blocks, out, state)
+        # the log is closed: a row after everything lifts the watermark over the end of all windows
+        end = f"{last_text} + interval '{delay}' + interval '{timeout}' + interval '1 day'"
+        marker = (F.lit(None).cast(kind).alias(name) if name != "event_time" else F.expr(end).alias(name) for name, kind in (c.split() for c in _WRITTEN.split(", ")))
+        spark.range(1).select(*marker).coalesce(1).write.mode("append").parquet(source)
+        return dropped + _drain(spark, blocks, out, state)[0], closed
+
+    dropped, closed = run(lateness or span)
+    if dropped:
+        for path in (out, state):
+            delete_path(spark, path)
+        _, closed = run(span)
+    delete_path(spark, source)
+    delete_path(spark, state)
+    return spark.read.schema(_CLOSED).parquet(out).filter("session_id is not null"), closed
+
+
+def closed_blocks(log: DataFrame, **options) -> DataFrame:
+    """The closed windows of :func:`replayed`."""
+    return replayed(log, **options)[0]
+
+
+def session_verdicts(closed: DataFrame) -> DataFrame:
+    """``session_id, broken`` of each session with messages, composed from its closed blocks."""
+    again = closed.groupBy("session_id", "block").count().filter("count > 1").select("session_id", "block")
+    reopened = closed.join(again, ["session_id", "block"], "left_semi").groupBy("session_id", "block").agg(F.flatten(F.collect_list("turns")).alias("turns"))
+    facts = closed.join(again, ["session_id", "block"], "left_anti").drop("turns").unionByName(_judged(reopened).drop("turns"))
     # from the last block to the first: the lead of the nearest later block that has one
     later = Window.partitionBy("session_id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     chained = facts.withColumn("next_lead", F.last("told.lead", ignorenulls=True).over(later))
@@ -130,7 +196,7 @@ def session_verdicts(blocks: DataFrame) -> DataFrame:
     return sums.select("session_id", broken.alias("broken"))
 
 
-def judged_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame, block: int = BLOCK, timeout: str = TIMEOUT, lateness: str | None = None) -> DataFrame:
+def judged_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     """``session_id, broken`` of every session named in either table.
 
     A session is broken if it has no row in ``sessions`` or no message, nobody speaks in it, an
@@ -138,7 +204,8 @@ def judged_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame,
     an earlier message of it, it is not opened by the user, or a user gets no reply.  Null sessions
     are none; missing times count as the log's last time; empty tables give an empty result.
     """
-    verdicts = session_verdicts(closed_blocks(message_log(messages, parts, block), timeout, lateness))
+    times = messages.filter("session_id is not null").select(F.col("created_at").cast("timestamp").alias("event_time"))
+    verdicts = session_verdicts(closed_blocks(message_log(messages, parts, block), times=times, **options))
     known = sessions.filter("session_id is not null").select("session_id").distinct().withColumn("known", F.lit(True))
     return known.join(verdicts, "session_id", "full").select("session_id", (F.col("known").isNull() | F.coalesce("broken", F.lit(True))).alias("broken"))
 

@@ -2,8 +2,9 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.llm.conversations import closed_blocks, conversations, judged_sessions, message_log
+from lodestrata.llm.conversations import closed_blocks, conversations, judged_sessions, message_log, replayed
 
 T0 = datetime(2025, 1, 1)
 MESSAGES = "message_id string, session_id string, parent_id string, role string, ordinal long, created_at timestamp_ntz, extra string"
@@ -69,3 +70,36 @@ def test_silence_splits_windows_but_loses_no_turn(spark):
     _, messages, parts = frames(spark, {"good": fill(GOOD, "good")}, [])
     blocks = closed_blocks(message_log(messages, parts)).collect()
     assert len(blocks) > 1 and sum(len(b.turns) for b in blocks) == len(GOOD)
+
+
+def long_log(spark, n=60):
+    """Sessions one after another; the last message of every third comes ten days late, every seventh has no time."""
+    data = {f"s{i:02}": fill(GOOD if i % 4 else GOOD[:5], f"s{i:02}") for i in range(n)}
+    _, messages, parts = frames(spark, data, [])
+    start = F.make_timestamp(F.lit(2025), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
+    i, k = F.substring("session_id", 2, 9).cast("int"), F.split("message_id", "-")[1].cast("int")
+    late = F.when((i % 3 == 0) & (k == 4), F.expr("interval '10' day")).otherwise(F.expr("interval '0' day"))
+    times = F.when((i % 7 == 0) & (k == 1), F.lit(None)).otherwise(start + F.make_dt_interval(hours=i * 6, mins=k) + late)
+    return data, messages.withColumn("created_at", times), parts
+
+
+def test_windows_close_before_the_end_and_late_rows_reopen_them(spark):
+    data, messages, parts = long_log(spark)
+    blocks, early = replayed(message_log(messages, parts), slices=5)
+    rows = blocks.collect()
+    assert early > len(data) / 2  # the watermark, not the end marker, closed them
+    assert len({r.session_id for r in rows}) == len(data) < len(rows)
+    assert sum(r.n for r in rows) == sum(len(t) for t in data.values())
+
+
+def test_late_rows_over_batches_change_no_verdict(spark):
+    data, messages, parts = long_log(spark)
+    sessions = spark.createDataFrame([(s, None) for s in data], SESSIONS)
+    got = {r.session_id: r.broken for r in judged_sessions(sessions, messages, parts, slices=5).collect()}
+    assert got == {s: int(s[1:]) % 4 == 0 for s in data}
+
+
+def test_a_watermark_behind_the_whole_log(spark):
+    data, messages, parts = long_log(spark, 20)
+    blocks, early = replayed(message_log(messages, parts), lateness=None)
+    assert early == 0 and sum(r.n for r in blocks.collect()) == sum(len(t) for t in data.values())
