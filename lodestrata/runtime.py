@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,18 +18,38 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables and checkpoints.
 
     The session's ``spark.checkpoint.dir`` wins.  Only where it is unset (local tests) is a
-    temporary folder made, and then recorded in the session so that it is made once.
+    temporary folder made, and then recorded in the session so that it is made once.  A cluster without the
+    setting is an error: a folder of one machine is none that its executors share.
     """
     found = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SHARED_DIR} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set(SHARED_DIR, found)
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/lodestrata/{label}-{uuid.uuid4().hex[:12]}"
+_scratch: dict[str, object] = {}
+
+
+def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A path in the shared folder that nobody else uses, deleted when this program ends unless it is to be kept."""
+    path = f"{shared_dir(spark)}/lodestrata/{label}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        if not _scratch:
+            atexit.register(delete_scratch)
+        _scratch[path] = spark
+    return path
+
+
+def delete_scratch() -> None:
+    """Deletes the written intermediate tables of this program; results that still read them can be read no more."""
+    for path, spark in list(_scratch.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # the session's JVM has gone
+            _scratch.pop(path, None)
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -51,6 +72,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _scratch.pop(path, None)
 
 
 def shuffle_tasks(spark: SparkSession) -> int:

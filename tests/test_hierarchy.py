@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators.hierarchy import cycle_members, descendants, resolve_hierarchy
+from lodestrata.operators.hierarchy import TREE, contract, cycle_members, descendants, resolve_hierarchy
 
 
 def brute(pairs):
@@ -63,3 +63,17 @@ def test_descendants_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", None, "x", 1), ("b", "a", "y", 2), ("c", "b", None, 3)], "message_id string, parent_id string, id string, state int")
     got = {tuple(r) for r in descendants(resolve_hierarchy(df, "message_id", "parent_id")).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_fragments_are_cut_and_joined_again(spark):
+    # one locality key, chains longer than a fragment may be, and a cycle with a tail of that kind
+    n = 900
+    pairs = [(f"n{i:04}", f"n{i - 1:04}" if i else None) for i in range(n)] + [(f"c{i:04}", f"c{(i - 1) % n:04}") for i in range(n)] + [(f"t{i:04}", f"t{i - 1:04}" if i else "c0003") for i in range(600)]
+    check(spark, pairs, locality=[F.lit(1)])
+
+
+def test_contraction_of_any_subset():
+    ids, parents = ["b", "c", "d", "e"], ["a", "b", "c", "d"]
+    hops = [[p] for p in parents]
+    got = {ids[i]: (ids[t], out, prefix, state) for i, t, out, prefix, state in contract(ids, parents, hops, [False] * 4, 2)}
+    assert got == {"b": ("b", "a", [], TREE), "c": ("b", None, ["b"], TREE), "d": ("d", "c", [], TREE), "e": ("d", None, ["d"], TREE)}
