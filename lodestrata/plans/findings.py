@@ -28,8 +28,9 @@ def _prior(spark: SparkSession, d: str) -> DataFrame:
     old = _texts(spark, d).filter(F.coalesce(F.col("last_modified_at") < F.lit(CUT).cast("timestamp_ntz"), F.lit(True)))
     rows = rule_findings(old, "path", "content", RULES).select("fingerprint", "path", "severity").dropDuplicates(["fingerprint"])
     gone = old.filter("last_modified_at is null").select(fingerprint(F.lit("open-note"), F.col("path"), F.lit("// TODO")).alias("fingerprint"), "path", F.lit("warning").alias("severity"))
+    deleted = load_table(spark, d, "files").filter("is_deleted = 1").select(fingerprint(F.lit("open-note"), F.col("path"), F.lit("// FIXME")).alias("fingerprint"), "path", F.lit("warning").alias("severity"))
     status = F.when(F.col("severity") == "info", "suppressed").when(F.col("path").contains("/test/"), "resolved").otherwise("active")
-    return rows.unionByName(gone).withColumn("status", status).select("fingerprint", "path", "status")
+    return rows.unionByName(gone).unionByName(deleted).withColumn("status", status).select("fingerprint", "path", "status")
 
 
 def _acks(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +53,10 @@ def findings_minus_acks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finding_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    scanned = _texts(spark, d).filter("is_deleted = 0 and path not like '%/docs/%'").select("path")
+    """After a scan of all files but the notes: findings of deleted files are resolved as those that went away."""
+    files = load_table(spark, d, "files").select("path", "is_deleted")
+    present = files.filter("is_deleted = 0 and path not like '%/docs/%'").select("path")
+    scanned = present.unionByName(files.filter("is_deleted = 1").select("path"))
     produced = _findings(spark, d).join(scanned, "path", "left_semi").select("fingerprint", "path")
     return lifecycle(_prior(spark, d), produced, scanned, "fingerprint", "path").groupBy("status", F.coalesce("event", F.lit("-")).alias("event")).agg(F.count("*").alias("findings"), F.min("fingerprint").alias("first_fingerprint"))
 
@@ -175,7 +179,8 @@ _FIND = f"""texts as (select file_id, path, content, last_modified_at, indexed_a
  acks as (select distinct fingerprint from found where path like '%/scripts/%' or path like '%/docs/%')"""
 _PRIORSQL = f"""prior as (select fingerprint, path, case when severity = 'info' then 'suppressed' when contains(path, '/test/') then 'resolved' else 'active' end as status from (
  select fingerprint, any_value(path) as path, any_value(severity) as severity from found where coalesce(last_modified_at < '{CUT}', true) group by 1
- union all select {_FP.format("'sopen-note', 's' || path, 's// TODO'")}, path, 'warning' from texts where last_modified_at is null))"""
+ union all select {_FP.format("'sopen-note', 's' || path, 's// TODO'")}, path, 'warning' from texts where last_modified_at is null
+ union all select {_FP.format("'sopen-note', 's' || path, 's// FIXME'")}, path, 'warning' from files where is_deleted = 1))"""
 _LOOPS = f"""loops as (select 'active_finding' as loop, rule as reason, count(*) as items from found group by 2 union all select 'stale_fact', coalesce(language, '?'), count(*) from files where is_deleted = 0 and last_modified_at > indexed_at group by 2
  union all select 'failed_run', coalesce(tier, '?'), count(*) from (select distinct * from harness_sessions) where status = 'error' group by 2)"""
 _FACTS = "f as (select distinct project_id as project, coalesce(tier, '?') as overlay, coalesce(active_provider, '?') as source, coalesce(status, '?') as kind, coalesce(active_model, '?') as subject, session_id, updated_at from harness_sessions)"
@@ -183,7 +188,7 @@ ORACLES = {
     "rule_finding_counts": f"with {_FIND} select rule, severity, count(*) as findings, count(distinct path) as files, count(distinct fingerprint) as fingerprints, min(fingerprint) as first_fingerprint from found group by 1, 2",
     "finding_list": f"with {_FIND} select rule, severity, path, cast(line_no as integer) as line_no from found where fingerprint not in (select fingerprint from acks) order by case severity when 'error' then 0 when 'warning' then 1 else 2 end, path, line_no, rule limit 100",
     "findings_minus_acks": f"with {_FIND} select rule, count(*) as open_findings from found where fingerprint not in (select fingerprint from acks) group by 1",
-    "finding_lifecycle": f"""with {_FIND}, {_PRIORSQL}, scanned as (select path from texts where is_deleted = 0 and path not like '%/docs/%'), n as (select fingerprint, any_value(path) as path from found where path in (select path from scanned) group by 1),
+    "finding_lifecycle": f"""with {_FIND}, {_PRIORSQL}, scanned as (select path from files where is_deleted = 1 or path not like '%/docs/%' and is_deleted = 0), n as (select fingerprint, any_value(path) as path from found where path in (select path from scanned) group by 1),
  j as (select coalesce(n.fingerprint, p.fingerprint) as fingerprint, coalesce(n.path, p.path) as path, p.status as old, n.fingerprint is not null as produced from prior p full join n on p.fingerprint = n.fingerprint),
  e as (select *, case when produced and old is null then 'created' when produced and old = 'resolved' then 'reopened' when produced then 'updated' when old = 'active' and path in (select path from scanned) then 'resolved' end as event from j)
  select case when produced and old = 'suppressed' then 'suppressed' when produced then 'active' when event = 'resolved' then 'resolved' else old end as status, coalesce(event, '-') as event, count(*) as findings, min(fingerprint) as first_fingerprint from e group by 1, 2""",

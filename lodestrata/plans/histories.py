@@ -12,6 +12,12 @@ from lodestrata.operators.search import ranked
 from lodestrata.sources import load_table
 
 
+# The order of symbol kinds in a file, and the priority of any other kind.
+KIND_PRIORITY = {"class": 100, "interface": 95, "type": 90, "function": 85, "method": 80, "arrow_function": 70, "enum": 65, "variable": 40, "property": 20}
+OTHER_KIND = 10
+BUDGET = 2500
+
+
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderdate", "o_orderpriority")
 
@@ -66,9 +72,10 @@ def issue_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    docs = load_table(spark, d, "documents").filter("source is not null").select("source", "doc_id", token_estimate(F.col("text")).alias("cost"), F.length(F.coalesce("text", F.lit(""))).alias("score"))
-    top = ranked(docs, F.col("score").desc(), F.col("doc_id"), within=["source"], limit=50, name="place")
-    return budget_prefix(top, ["source"], [F.col("score").desc(), F.col("doc_id")], "cost", 2500).select("source", "doc_id", "cost", "running_cost")
+    docs = load_table(spark, d, "documents").filter("source is not null").select("source", "doc_id", F.greatest(F.lit(1).cast("long"), token_estimate(F.col("text"))).alias("cost"), F.length(F.coalesce("text", F.lit(""))).alias("score"))
+    # each item costs 1 at least, so that no more of a source than the budget can fit
+    top = ranked(docs, F.col("score").desc(), F.col("doc_id"), within=["source"], limit=BUDGET, name="place")
+    return budget_prefix(top, ["source"], [F.col("score").desc(), F.col("doc_id")], "cost", BUDGET).select("source", "doc_id", "cost", "running_cost")
 
 
 def repo_map_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +94,10 @@ def session_tail_compaction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_topk_per_file(spark: SparkSession, d: str) -> DataFrame:
+    """Exported symbols first, then by the priority of their kind and their line."""
     s = load_table(spark, d, "symbols").select("symbol_id", "file_id", "kind", "export_name", "line_start").distinct()
-    return ranked(s, F.col("export_name").isNull(), F.col("kind"), F.col("line_start").asc_nulls_last(), F.col("symbol_id"), within=["file_id"], limit=3).select("file_id", "symbol_id", "rank")
+    priority = F.coalesce(F.create_map(*(F.lit(x) for kv in KIND_PRIORITY.items() for x in kv))[F.coalesce("kind", F.lit("?"))], F.lit(OTHER_KIND))
+    return ranked(s, F.col("export_name").isNull(), priority.desc(), F.col("line_start").asc_nulls_last(), F.col("symbol_id"), within=["file_id"], limit=3).select("file_id", "symbol_id", "rank")
 
 
 def as_of_verification(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +154,11 @@ def layout_order(spark: SparkSession, d: str) -> DataFrame:
     n = load_table(spark, d, "nation")
     zone = F.when(F.col("n_regionkey") == 2, "start").when(F.col("n_regionkey") == 4, "end").otherwise("middle")
     rows = n.select("n_name", "n_nationkey", zone.alias("zone"))
-    order = F.when(F.col("zone") == "start", 0).when(F.col("zone") == "middle", 1).otherwise(2)
-    return ranked(rows, order, F.col("n_nationkey"), limit=1000, name="place").select("n_name", "zone", "place")
+    # places go on from zone to zone: three counts instead of one global sort
+    counts = rows.agg(*(F.count_if(F.col("zone") == z).alias(z) for z in ("start", "middle")))
+    before = F.when(F.col("zone") == "start", 0).when(F.col("zone") == "middle", F.col("start")).otherwise(F.col("start") + F.col("middle"))
+    within = ranked(rows, F.col("n_nationkey"), within=["zone"], name="nth").join(F.broadcast(counts))
+    return within.select("n_name", "zone", (F.col("nth") + before).cast("int").alias("place"))
 
 
 def page_with_total(spark: SparkSession, d: str) -> DataFrame:
@@ -179,12 +191,12 @@ ORACLES = {
     "issue_ranking": """with n as (select *, row_number() over (order by o_orderdate desc, o_orderkey) as recency from orders qualify recency <= 200),
  s as (select o_orderkey, case o_orderpriority when '1-URGENT' then 700 when '2-HIGH' then 600 when '3-MEDIUM' then 520 else 420 end + case when o_orderstatus = 'O' then 25 else 0 end - (recency - 1) as score from n)
  select o_orderkey, cast(score as integer) as score, cast(row_number() over (order by score desc, o_orderkey) as integer) as rank, row_number() over (order by score desc, o_orderkey) = 1 as current_focus from s qualify rank <= 40""",
-    "context_budget_prefix": """with t as (select source, doc_id, cast(ceil(length(coalesce(text, '')) / 4.0) as bigint) as cost, length(coalesce(text, '')) as score from documents where source is not null), p as (select *, row_number() over (partition by source order by score desc, doc_id) as rn from t qualify rn <= 50),
+    "context_budget_prefix": """with t as (select source, doc_id, greatest(1, cast(ceil(length(coalesce(text, '')) / 4.0) as bigint)) as cost, length(coalesce(text, '')) as score from documents where source is not null), p as (select *, row_number() over (partition by source order by score desc, doc_id) as rn from t),
  c as (select *, sum(cost) over (partition by source order by rn) as running_cost from p) select source, doc_id, cost, cast(running_cost as bigint) as running_cost from c where rn = 1 or running_cost <= 2500""",
     "session_tail_compaction": """with m as (select distinct session_id, message_id, ordinal, role from harness_messages where session_id is not null), t as (select *, ceil(length(concat_ws(' ', message_id, role)) / 4.0) as tok from m),
  w as (select *, sum(tok) over (partition by session_id) as total, row_number() over (partition by session_id order by ordinal desc, message_id desc) as rn from t)
  select session_id, count(*) filter (total >= 240 and rn > 4) as archived, count(*) as messages, cast(max(total) as bigint) as tokens from w group by 1""",
-    "symbol_topk_per_file": "with s as (select distinct symbol_id, file_id, kind, export_name, line_start from symbols) select file_id, symbol_id, cast(row_number() over (partition by file_id order by export_name is null, kind, line_start nulls last, symbol_id) as integer) as rank from s qualify rank <= 3",
+    "symbol_topk_per_file": "with s as (select distinct symbol_id, file_id, kind, export_name, line_start from symbols) select file_id, symbol_id, cast(row_number() over (partition by file_id order by export_name is null, case kind when 'class' then 100 when 'interface' then 95 when 'type' then 90 when 'function' then 85 when 'method' then 80 when 'variable' then 40 else 10 end desc, line_start nulls last, symbol_id) as integer) as rank from s qualify rank <= 3",
     "as_of_verification": f"with {_VERIFY} select * from s",
     "verification_overall": f"with {_VERIFY}, c as (select count(*) filter (state = 'failed') as failed, count(*) filter (state = 'stale') as stale, count(*) filter (state = 'unknown') as unknown, count(*) filter (state = 'fresh') as fresh from s) select *, case when failed > 0 then 'failed' when stale > 0 then 'stale' when unknown > 0 then 'unknown' else 'fresh' end as overall from c",
     "overlay_diff": f"with {_OVER} select *, case status when 'changed' then 0 when 'only_right' then 1 when 'only_left' then 2 else 3 end as display_order from diff",

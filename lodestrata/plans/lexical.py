@@ -196,7 +196,8 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (lexical_bm25_topk, token_document_frequency, chunk_search_bm25, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, risk_rules, precedent_rank, token_costs)}
 
 _TOK = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')"
-_EXPAND = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[_./\\\\:-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+# another way to the same words: a blank before each capitalised word, then the runs of one kind of character
+_EXPAND = "array_to_string(regexp_extract_all(regexp_replace({0}, '[A-Z][a-z]', ' \\0', 'g'), '[A-Z][a-z]+|[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9_./\\\\:\\s-]+'), ' ')"
 
 
 def _bm25_sql(source: str, key: str, text: str, terms: list[str]) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import contains_ci
+from lodestrata.operators import corpus
 from lodestrata.operators.rollups import window_filter
 from lodestrata.operators.search import best_per_key
 from lodestrata.operators.sections import heading_sections
@@ -94,7 +95,7 @@ def usage_by_session_tier(spark: SparkSession, d: str) -> DataFrame:
 
 def overload_prefix_join(spark: SparkSession, d: str) -> DataFrame:
     """Table references met by functions of the same bare name: a prefix join as an equality of derived names."""
-    refs = codebase.function_tables(spark, d).select(F.regexp_replace("first_table", r"^\w+\.", "").alias("bare"), "function_name")
+    refs = corpus.function_table_references(codebase._sql_texts(spark, d), ["path"]).select(F.regexp_replace("table_name", r"^\w+\.", "").alias("bare"), "function_name").distinct()
     defs = codebase.schema_object_list(spark, d).select(F.regexp_replace("name", r"^\w+\.", "").alias("bare"), "name", "object_type").distinct()
     return refs.join(defs, "bare").select("function_name", "name", "object_type")
 
@@ -162,7 +163,7 @@ ORACLES = {
     "sessions_without_messages": "select status, count(*) as sessions from (select distinct session_id, status from harness_sessions) s where not exists (select 1 from harness_messages m where m.session_id = s.session_id) group by 1",
     "latest_state_per_trace": "with m as (select distinct session_id, message_id, created_at, ordinal from harness_messages where session_id is not null qualify row_number() over (partition by session_id order by created_at desc nulls last, ordinal desc, message_id) = 1) select session_id, status, message_id from (select distinct session_id, status from harness_sessions) left join m using (session_id)",
     "usage_by_session_tier": "select tier, active_model, count(*) as messages, count(distinct m.session_id) as sessions from (select distinct message_id, session_id from harness_messages) m left join (select distinct session_id, tier, active_model from harness_sessions) s on m.session_id = s.session_id group by 1, 2",
-    "overload_prefix_join": f"with {_SQLP}, r as (select function_name, regexp_replace(min(table_name), '^\\w+\\.', '') as bare from refs group by 1), o as (select distinct name, object_type, regexp_replace(name, '^\\w+\\.', '') as bare from objs) select function_name, name, object_type from r join o using (bare)",
+    "overload_prefix_join": f"with {_SQLP}, r as (select function_name, regexp_replace(table_name, '^\\w+\\.', '') as bare from refs group by 1, 2), o as (select distinct name, object_type, regexp_replace(name, '^\\w+\\.', '') as bare from objs) select function_name, name, object_type from r join o using (bare)",
     "guard_checks": "with c as (select path, case when is_generated = 1 and sha256 is null then 'generated_unhashed' when is_deleted = 1 and size_bytes > 0 then 'deleted_sized' when is_deleted = 0 and line_count = 0 then 'empty_source' end as code from files) select code, count(*) as files, min(path) as first_path from c where code is not null group by 1",
     "sarif_report": f"with {_F._FIND} select rule, case severity when 'error' then 'error' when 'warning' then 'warning' else 'note' end as level, count(*) as results, cast(max(line_no) as integer) as last_line from found group by 1, 2",
     "table_preflight": f"""with {_SQLP}, c as (select table_name, count(distinct column_name) as columns from cols group by 1), r as (select table_name, count(distinct function_name) as readers from refs group by 1),

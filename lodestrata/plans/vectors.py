@@ -10,7 +10,11 @@ from lodestrata.operators.search import bm25, ranked, reciprocal_rank_fusion
 from lodestrata.sources import load_table
 
 TERMS = ["snapshot", "budget"]
-DEPTH = 50
+
+
+def depth(k: int) -> int:
+    """How deep each list of a fusion is read for a page of k."""
+    return max(4 * k, 50)
 
 
 def _similar(spark: SparkSession, d: str, limit: int) -> DataFrame:
@@ -31,20 +35,20 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_rrf_topk(spark: SparkSession, d: str) -> DataFrame:
-    lists = [_lexical(spark, d, DEPTH).select(F.col("doc_id").alias("id"), "rank"), _similar(spark, d, DEPTH).select(F.col("vec_id").alias("id"), "rank")]
+    lists = [_lexical(spark, d, depth(20)).select(F.col("doc_id").alias("id"), "rank"), _similar(spark, d, depth(20)).select(F.col("vec_id").alias("id"), "rank")]
     fused = reciprocal_rank_fusion(lists, "id").withColumn("score", F.round("score", 8))
     return fused.orderBy(F.col("score").desc(), "id").limit(20)
 
 
 def hybrid_concatenated_topk(spark: SparkSession, d: str) -> DataFrame:
     """Fusion in which a second lexical source is appended to the first: its ranks go on where those end."""
-    first = _lexical(spark, d, 30).select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "rank")
+    first = _lexical(spark, d, depth(25)).select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "rank")
     parts = load_table(spark, d, "harness_message_parts").filter("kind = 'text'").select("part_id", F.get_json_object("payload_json", "$.text").alias("text")).distinct()
     hits = bm25(parts, TERMS, F.col("text"), ["part_id"]).withColumn("score", F.round("score", 5))
-    second = ranked(hits, F.col("score").desc(), F.col("part_id"), limit=30).select(F.concat(F.lit("part:"), "part_id").alias("id"), "rank")
+    second = ranked(hits, F.col("score").desc(), F.col("part_id"), limit=depth(25)).select(F.concat(F.lit("part:"), "part_id").alias("id"), "rank")
     shift = first.agg(F.count("*").alias("n"))
     lexical = first.unionByName(second.join(F.broadcast(shift)).select("id", (F.col("rank") + F.col("n")).alias("rank")))
-    vector = _similar(spark, d, 30).select(F.concat(F.lit("doc:"), "vec_id").alias("id"), "rank")
+    vector = _similar(spark, d, depth(25)).select(F.concat(F.lit("doc:"), "vec_id").alias("id"), "rank")
     fused = reciprocal_rank_fusion([lexical, vector], "id").withColumn("score", F.round("score", 8))
     return fused.orderBy(F.col("score").desc(), "id").limit(25)
 
@@ -88,9 +92,9 @@ _VEC = """q as (select cast(embedding as double[]) as q from embeddings order by
 _PARTS = "(select distinct part_id, json_extract_string(payload_json, '$.text') as text from harness_message_parts where kind = 'text')"
 ORACLES = {
     "cosine_topk": f"with {_VEC} select vec_id, similarity, cast(rank as integer) as rank from vec where rank <= 20",
-    "hybrid_rrf_topk": f"with {_VEC}, {_lex_sql('lex', 'documents', 'doc_id')}, u as (select k as id, 1.0::double / (60 + rank) as part from lex where rank <= 50 union all select vec_id, 1.0::double / (60 + rank) from vec where rank <= 50) select id, round(sum(part), 8) as score from u group by 1 order by score desc, id limit 20",
+    "hybrid_rrf_topk": f"with {_VEC}, {_lex_sql('lex', 'documents', 'doc_id')}, u as (select k as id, 1.0::double / (60 + rank) as part from lex where rank <= 80 union all select vec_id, 1.0::double / (60 + rank) from vec where rank <= 80) select id, round(sum(part), 8) as score from u group by 1 order by score desc, id limit 20",
     "hybrid_concatenated_topk": f"""with {_VEC}, {_lex_sql('lex', 'documents', 'doc_id')}, {_lex_sql('mem', _PARTS, 'part_id')},
- u as (select 'doc:' || k as id, 1.0::double / (60 + rank) as part from lex where rank <= 30 union all select 'part:' || k, 1.0::double / (60 + rank + (select least(30, count(*)) from lex)) from mem where rank <= 30 union all select 'doc:' || vec_id, 1.0::double / (60 + rank) from vec where rank <= 30)
+ u as (select 'doc:' || k as id, 1.0::double / (60 + rank) as part from lex where rank <= 100 union all select 'part:' || k, 1.0::double / (60 + rank + (select least(100, count(*)) from lex)) from mem where rank <= 100 union all select 'doc:' || vec_id, 1.0::double / (60 + rank) from vec where rank <= 100)
  select id, round(sum(part), 8) as score from u group by 1 order by score desc, id limit 25""",
     "memory_recall": """with e as (select embedding_id, any_value(owner_id) as owner_id, any_value(cast(vector as double[])) as v from harness_embeddings where owner_kind = 'memory' and model = 'lark-embed-m' and dim = 64 and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or abs(x) >= 1e30)) = 0 group by 1),
  q as (select v as q, embedding_id as qid from e order by embedding_id limit 1), s as (select embedding_id, owner_id, case when len(list_filter(v, lambda x: x <> 0)) = 0 then 0.0 else round(list_cosine_similarity(v, q), 5) end as similarity from e, q where embedding_id <> qid)

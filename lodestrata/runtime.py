@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scratch: dict[str, object] = {}
+_scratch: dict[str, tuple] = {}
 
 
 def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
@@ -39,17 +39,23 @@ def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     if not keep:
         if not _scratch:
             atexit.register(delete_scratch)
-        _scratch[path] = spark
+        _scratch[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     return path
 
 
 def delete_scratch() -> None:
     """Deletes the written intermediate tables of this program; results that still read them can be read no more."""
-    for path, spark in list(_scratch.items()):
+    while _scratch:
+        path, (jvm, conf) = _scratch.popitem()
         try:
-            delete_path(spark, path)
-        except Exception:  # the session's JVM has gone
-            _scratch.pop(path, None)
+            _delete(jvm, conf, path)
+        except Exception:  # the JVM has gone
+            pass
+
+
+def _delete(jvm, conf, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -69,9 +75,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a path of :func:`new_path` once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     _scratch.pop(path, None)
 
 
