@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodestrata.llm.handwritten import family_of, source_classes, verdict
+from lodestrata.llm.handwritten import family_of, layout_verdict, nesting, source_classes, verdict
 
 HAND = """import { load } from "./load.js";
 
@@ -66,3 +66,42 @@ def test_operator(spark):
     got = {r.file_id: r["class"] for r in source_classes(files, chunks).collect()}
     assert got == {1: "data", 2: "handwritten", 3: "minified", 4: "handwritten", 5: "handwritten"}
     assert source_classes(files.limit(0), chunks.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head", ["// Created by Alice\n", "/* Do not edit the cache directly; call invalidate(). */\n", "// The generator client was generated by hand\n", "// never edit this without asking\n"])
+def test_comments_of_people(head):
+    assert verdict(head + HAND, "a/src/x.ts") is None
+
+
+def layout(text, family="code"):
+    found = layout_verdict(text, text.split("\n"), family)
+    return found and found[0]
+
+
+WRAPPED = "(function (root, factory) {\n  root.Lib = factory();\n})(this, function () {\n" + HAND + "const rows = [1];\nfunction last() {\n  return rows;\n}\n});\n"
+PACKED = "var __step = (self && self.__step) || function (t, n) { return new (n || (n = Promise))(function (ok) { ok(t()); }); };\n"
+
+
+def test_layout_alone():
+    assert layout(HAND) is None
+    assert layout(WRAPPED) == "vendored"
+    assert layout("load(7, function (module) {\n" + WRAPPED.split("{\n", 2)[2]) == "bundled"
+    assert layout(PACKED + HAND) == "compiled"
+    assert layout(MINIFIED) == "minified" and layout("x" * 40 + ";" + MINIFIED.replace("\n", "")) == "minified"
+    assert layout(NUMBERED) == "generated"
+    assert layout("export const rows = [\n" + "".join(f'  {{ key: "k{i % 7}", rank: {i}, label: "of it" }},\n' for i in range(400)) + "];\n") == "data"
+    assert layout("export const words = [\n" + "".join(f'  "{a}{b}word", "{b}{a}",\n' for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz") + "];\n") == "data"
+    # a few rows of constants in hand-written code are none
+    assert layout(HAND + "".join(f"export const limit{i} = {i * 7};\n" for i in range(100))) is None
+
+
+def test_nesting():
+    assert nesting("const a = /[{(]/;\nfunction f() {\n  return '}';\n}\n")["wrapped"] == 0
+    assert nesting("wrap(function () {\nlet a = 1;\nlet b = `\nx {\n`;\n})\n")["wrapped"] > 0.6
+    assert nesting("function f() {\n/* { */\n  a();\n}\n")["wrapped"] == 0
+    assert nesting("")["margin"] == 0
+
+
+def test_marks_below_a_long_licence():
+    text = "/*\n" + " * words of the licence\n" * 90 + " */\nmodule.exports = typeof define === 'function' && define.amd ? define(make) : make();\n"
+    assert verdict(text, "a/x.js")[0] == "vendored"
