@@ -1,6 +1,6 @@
 import pytest
 
-from lodestrata.llm.documented_code import C_LIKE, HASH, SQL, code_of, comment_run, description, documented_functions, find_declaration, word_count
+from lodestrata.llm.documented_code import C_LIKE, HASH, RUST, SHARP, SQL, Islands, code_of, comment_run, description, documented_functions, find_declaration, grammar_for, pairs_of, word_count
 
 
 def doc(text, at=None, g=C_LIKE):
@@ -66,3 +66,41 @@ def test_operator_handles_dirt(spark):
 def test_decorator_of_any_length(entries):
     text = "/** Keeps the older copy. */\n@Cached({\n" + "".join(f"  key{i}: {i},\n" for i in range(entries)) + "})\nasync f() {"
     assert doc(text) == "Keeps the older copy."
+
+
+def test_bodies_with_regular_expressions_and_templates():
+    text = "function f(s) {\n  if (/[}]/.test(s) || /}/.test(s)) { return `}${s}\n}`; }\n  return s / 2 / 3;\n}\nrest"
+    assert code_of(text.split("\n"), 0, None, C_LIKE) == text[: -len("\nrest")]
+    sql = "create function f()\nreturns int as $body$\n select '}'; -- $$\n$body$ language sql;\ncreate function g() as $$ select 1; $$;"
+    assert code_of(sql.split("\n"), 0, None, SQL) == sql[: sql.index("\ncreate function g")]
+    # no body: the next function's is not taken
+    assert code_of("drop function f();\ncreate function g() as $$ select 1; $$;".split("\n"), 0, None, SQL) == "drop function f();"
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.cs", "/// Reads all open files.\n[Obsolete(\"old [\")]\npublic int F() {"),
+        ("a.java", "/** Reads all open files. */\n@Timed(value = \"}{\",\n  extra = 1)\npublic int f() {"),
+        ("a.rs", "/// Reads all open files.\n#[inline]\nfn f<'a>(x: &'a str) {"),
+        ("a.php", "# Reads all open files.\n#[Pure]\nfunction f() {"),
+        ("a.cpp", "// Reads all open files.\n[[nodiscard]]\nint f() {"),
+    ],
+)
+def test_annotations_of_families(path, text):
+    assert doc(text, g=grammar_for(path, None)) == "Reads all open files."
+
+
+def test_text_in_strings_is_no_comment():
+    assert doc("const s = `\n// Reads all open files.\n`;\nfunction f() {") == ""
+    assert doc("x = \"\"\"\n# Reads all open files.\n\"\"\"\ndef f():", g=HASH) == ""
+    assert doc("let a = [\n  1]\nfunction f() {") == ""
+
+
+def test_one_pass_serves_all_functions_of_a_file():
+    text = "".join(f"/** Counts the rows of part {i}. */\nfunction f{i}() {{\n  return '}}';\n}}\n" for i in range(50))
+    symbols = [{"symbol_id": i, "name": f"f{i}", "line_start": 4 * i + 2, "line_end": None, "signature_text": None} for i in range(50)]
+    got = list(pairs_of(text, "a.ts", None, symbols))
+    assert [g[2] for g in got] == [f"function f{i}() {{\n  return '}}';\n}}" for i in range(50)]
+    assert [g[0] for g in pairs_of(text, "a.ts", None, symbols, with_code=False)] == list(range(50))
+    assert Islands([""], RUST).text == "" and SHARP.decorators == ("[",)
