@@ -120,11 +120,13 @@ def usages(texts: DataFrame, objects: DataFrame, keep: list[str], content: str =
     return words.join(objects, "bare").select(*keep, "name")
 
 
-def live_text_search(texts: DataFrame, key: str, needle: str, content: str = "content", matches: int = 500, files: int = 200) -> DataFrame:
-    """``key, line_no, line`` of the lines that contain a fixed string, within the caps of a report."""
-    hits = texts.filter(contains_ci(F.col(content), needle)).orderBy(key).limit(files)
+def live_text_search(texts: DataFrame, key: str, needle: str, content: str = "content", matches: int | None = 500, files: int | None = 200) -> DataFrame:
+    """``key, line_no, line`` of the lines that contain a fixed string, within the caps of a report or, with None, all of them."""
+    hits = texts.filter(contains_ci(F.col(content), needle))
+    hits = hits if files is None else hits.orderBy(key).limit(files)
     lines = hits.select(key, F.posexplode(F.split(content, "\n")).alias("pos", "line")).filter(contains_ci(F.col("line"), needle))
-    return lines.select(key, (F.col("pos") + 1).alias("line_no"), "line").orderBy(key, "line_no").limit(matches)
+    found = lines.select(key, (F.col("pos") + 1).alias("line_no"), "line")
+    return found if matches is None else found.orderBy(key, "line_no").limit(matches)
 
 
 def semantic_units(chunks: DataFrame) -> DataFrame:

@@ -109,17 +109,29 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return alone if found is None else found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
 
 
-def short_cycles(edges: DataFrame) -> DataFrame:
+def short_cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Cycles of two and three nodes as ``cycle``, each once, from its smallest node on.
 
-    Only edges inside strongly connected components can lie on a cycle; others should be removed before.
+    With ``components`` (of :func:`strongly_connected`) edges that lead out of one are left aside, as no cycle has any.
+    Each cycle of three is found from its node of least degree: of a hub's edges only those to other hubs
+    are paired, so that the pairs of edges stay within the edges times their root.
     """
     e = edges.filter("src <> dst").select("src", "dst").distinct()
-    a, b, c = e.alias("a"), e.alias("b"), e.alias("c")
-    up = F.col("a.src") < F.col("a.dst")
-    two = a.join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") == F.col("a.src"))).filter(up).select(F.array("a.src", "a.dst").alias("nodes"))
-    three = a.filter(up).join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") > F.col("a.src"))).join(c, (F.col("b.dst") == F.col("c.src")) & (F.col("c.dst") == F.col("a.src"))).select(F.array("a.src", "a.dst", "b.dst").alias("nodes"))
-    return two.unionByName(three).select(F.array_join("nodes", ">").alias("cycle"), F.size("nodes").alias("length"))
+    if components is not None:
+        e = e.join(components.select(F.col("node").alias("src"), F.col("component").alias("__c")), "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("__d")), "dst").filter("__c = __d").select("src", "dst")
+    e = written(e, "cycle-edges")
+    degree = e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count("*").alias("n"))
+    rank = F.struct("n", "node")
+    o = e.join(degree.select(F.col("node").alias("src"), rank.alias("rs")), "src").join(degree.select(F.col("node").alias("dst"), rank.alias("rd")), "dst")
+    two = e.alias("a").join(e.alias("b"), (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") == F.col("a.src"))).filter(F.col("a.src") < F.col("a.dst")).select(F.array("a.src", "a.dst").alias("nodes"))
+    # x -> y and z -> x, with x the node of least rank, closed by y -> z
+    out = o.filter("rs < rd").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    into = o.filter("rd < rs").select(F.col("dst").alias("x"), F.col("src").alias("z"))
+    open_ = out.join(into, "x").filter("y <> z")
+    found = open_.join(e.select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"])
+    first = F.least("x", "y", "z")
+    nodes = F.when(first == F.col("x"), F.array("x", "y", "z")).when(first == F.col("y"), F.array("y", "z", "x")).otherwise(F.array("z", "x", "y"))
+    return two.unionByName(found.select(nodes.alias("nodes"))).select(F.array_join("nodes", ">").alias("cycle"), F.size("nodes").alias("length"))
 
 
 def capped(df: DataFrame, keys: list[str], limit: int, *order: Column) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import corpus, graph
 from lodestrata.operators.search import ranked
-from lodestrata.sources import load_table
+from lodestrata.runtime import stored_table
+from lodestrata.sources import load_table, table_path
 
 #: A module that every size of the data has.
 HOT = "orchid-00000"
@@ -58,7 +59,7 @@ def schema_usages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_search(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.live_text_search(_texts(spark, d), "path", "Snapshot[]").select("path", "line_no", F.length(F.trim(F.regexp_replace("line", r"\r", ""))).alias("width"))
+    return corpus.live_text_search(_texts(spark, d), "path", "token budget", matches=None, files=None).select("path", "line_no", F.length(F.trim(F.regexp_replace("line", r"\r", ""))).alias("width"))
 
 
 def semantic_unit_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +67,11 @@ def semantic_unit_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def module_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The stored graph of modules, derived once as long as the texts stay the same."""
+    return stored_table(spark, "module-edges", [table_path(d, "chunks"), table_path(d, "files")], lambda: derived_module_edges(spark, d))
+
+
+def derived_module_edges(spark: SparkSession, d: str) -> DataFrame:
     """Dependencies between modules: a workspace and the last word of a file's or import's name."""
     rows = _imports(spark, d).filter("kind in ('relative', 'package')")
     space = F.element_at(F.split("path", "/"), 1)
@@ -115,7 +121,7 @@ def module_components(spark: SparkSession, d: str) -> DataFrame:
 
 def module_short_cycles(spark: SparkSession, d: str) -> DataFrame:
     e = module_edges(spark, d)
-    return graph.short_cycles(e)
+    return graph.short_cycles(e, graph.strongly_connected(e))
 
 
 def event_transition_cycles(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +200,7 @@ def route_context(spark: SparkSession, d: str) -> DataFrame:
     own = F.concat_ws("/", space, F.regexp_extract("path", r"([a-z]+)(?:\.[a-z]+)+$", 1))
     r = route_table(spark, d).select("route_key", own.alias("src"))
     e = module_edges(spark, d).select("src", "dst")
-    one = r.join(e, "src").select("route_key", F.col("dst").alias("module"))
+    one = r.join(e, "src").select("route_key", F.col("dst").alias("module")).distinct()
     two = one.join(e, one.module == e.src).select("route_key", F.col("dst").alias("module"))
     return one.unionByName(two).distinct().groupBy("route_key").agg(F.count("*").alias("modules"))
 
@@ -270,8 +276,8 @@ ORACLES = {
     "function_tables": f"with {_TEXTS}, {_SQLT}, {_FREF} select function_name, count(distinct table_name) as tables, min(table_name) as first_table from refs group by 1",
     "schema_usages": f"""with {_TEXTS}, {_SQLT}, {_OBJ}, o as (select name, min(path) as defined_in, regexp_replace(name, '^\\w+\\.', '') as bare from objs where object_type = 'table' group by 1),
  u as (select path, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z_][a-z0-9_]*'))) as bare from texts) select name, count(*) as files, min(path) as first_path from u join o using (bare) where path <> defined_in group by 1""",
-    "live_search": f"""with {_TEXTS}, f as (select path, content from texts where contains(lower(content), 'snapshot[]') order by path limit 200), l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from f)
- select path, cast(n as integer) as line_no, length(trim(replace(line, chr(13), ''), ' ')) as width from l where contains(lower(line), 'snapshot[]') order by path, n limit 500""",
+    "live_search": """with l as (select file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from chunks where chunk_kind = 'file')
+ select path, cast(n as integer) as line_no, length(trim(replace(line, chr(13), ''), ' ')) as width from l join files using (file_id) where contains(lower(line), 'token budget')""",
     "semantic_unit_counts": """with u as (select distinct case when chunk_kind = 'symbol' then 'code' else 'doc' end as kind, 'su_' || sha256(concat_ws(chr(31), case when chunk_kind = 'symbol' then 'code' else 'doc' end, cast(file_id as varchar), sha256(content))) as unit_id from chunks where content is not null) select kind, count(*) as units, min(unit_id) as first_unit from u group by 1""",
     "module_edges": f"with {_PRE} select src, dst, imports from mods",
     "import_hotspots": f"with {_PRE}, {_DEG} select node, fan_in, fan_out, fan_in + fan_out as total, round(2.0 * fan_in + fan_out + 0.1, 1)::double as centrality from deg order by total desc, fan_in desc, node limit 40",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions.keys import fingerprint
 from lodestrata.operators.facts import assertion_verdict, confidence, lifecycle, packet_confidence, replace_for_source, rule_findings, rule_memory, upsert, with_ack_status, without_acknowledged
 from lodestrata.operators.search import best_per_key
-from lodestrata.sources import load_table
+from lodestrata.runtime import spread, stored_table
+from lodestrata.sources import load_table, table_path
 
 RULES = {"open-note": ("warning", "TODO|FIXME|XXX"), "long-line": ("info", "^.{160,}$"), "loose-import": ("error", r'^import .* from "\.\./[a-z]+"'), "unused-rule": ("info", "never_to_be_found_anywhere")}
 CUT = "2025-04-01 00:00:00"
@@ -20,13 +21,16 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    return rule_findings(_texts(spark, d), "path", "content", RULES)
+    """The stored findings of the last scan: made once, as long as the texts stay the same."""
+    inputs = [table_path(d, "chunks"), table_path(d, "files")]
+    return stored_table(spark, "findings", inputs, lambda: rule_findings(spread(_texts(spark, d)), "path", "content", RULES))
 
 
 def _prior(spark: SparkSession, d: str) -> DataFrame:
     """What an earlier scan, before the cut, left behind."""
     old = _texts(spark, d).filter(F.coalesce(F.col("last_modified_at") < F.lit(CUT).cast("timestamp_ntz"), F.lit(True)))
-    rows = rule_findings(old, "path", "content", RULES).select("fingerprint", "path", "severity").dropDuplicates(["fingerprint"])
+    before = load_table(spark, d, "files").filter(F.coalesce(F.col("last_modified_at") < F.lit(CUT).cast("timestamp_ntz"), F.lit(True))).select("path")
+    rows = _findings(spark, d).join(before, "path", "left_semi").select("fingerprint", "path", "severity").dropDuplicates(["fingerprint"])
     gone = old.filter("last_modified_at is null").select(fingerprint(F.lit("open-note"), F.col("path"), F.lit("// TODO")).alias("fingerprint"), "path", F.lit("warning").alias("severity"))
     deleted = load_table(spark, d, "files").filter("is_deleted = 1").select(fingerprint(F.lit("open-note"), F.col("path"), F.lit("// FIXME")).alias("fingerprint"), "path", F.lit("warning").alias("severity"))
     status = F.when(F.col("severity") == "info", "suppressed").when(F.col("path").contains("/test/"), "resolved").otherwise("active")

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import contains_ci, expand_identifier, has_all_prefixes, has_any_prefix, has_phrase, matches_glob, query_terms, token_estimate, tokens, weighted
-from lodestrata.operators.search import best_per_key, bm25, document_frequency, postings, ranked, snippet
-from lodestrata.sources import load_table
+from lodestrata.operators.corpus import semantic_units
+from lodestrata.operators.search import best_per_key, document_frequency, ranked, snippet
+from lodestrata.operators.text_index import TextIndex, build_index, index_bm25
+from lodestrata.runtime import stored
+from lodestrata.sources import load_table, table_path
 
 QUERY = "snapshot reader budget"
 NAME_QUERY = "resolve snapshot"
@@ -22,22 +25,71 @@ def _file_chunks(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "chunks").filter("chunk_kind = 'file'")
 
 
+def document_index(spark: SparkSession, d: str) -> TextIndex:
+    return stored(spark, "index-documents", [table_path(d, "documents")], lambda path: build_index(_docs(spark, d), "doc_id", F.col("text"), path))
+
+
+def content_index(spark: SparkSession, d: str) -> TextIndex:
+    """The texts of files."""
+    return stored(spark, "index-content", [table_path(d, "chunks")], lambda path: build_index(_file_chunks(spark, d), "file_id", F.col("content"), path))
+
+
+def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their content, path and name in one text."""
+    files = load_table(spark, d, "files").select("file_id", "path")
+    return load_table(spark, d, "chunks").join(files, "file_id").withColumn("all_text", F.concat_ws(" ", "content", "path", F.coalesce("name", F.lit(""))))
+
+
+def chunk_index(spark: SparkSession, d: str) -> TextIndex:
+    return stored(spark, "index-chunks", [table_path(d, "chunks"), table_path(d, "files")], lambda path: build_index(_chunk_texts(spark, d), "chunk_id", F.col("all_text"), path))
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return semantic_units(load_table(spark, d, "chunks"))
+
+
+def unit_index(spark: SparkSession, d: str) -> TextIndex:
+    return stored(spark, "index-units", [table_path(d, "chunks")], lambda path: build_index(_units(spark, d), "unit_id", F.col("content"), path))
+
+
+def _memories(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the message log remembers."""
+    return load_table(spark, d, "harness_message_parts").filter("kind = 'text'").select("part_id", F.get_json_object("payload_json", "$.text").alias("text")).distinct()
+
+
+def memory_index(spark: SparkSession, d: str) -> TextIndex:
+    return stored(spark, "index-memories", [table_path(d, "harness_message_parts")], lambda path: build_index(_memories(spark, d), "part_id", F.col("text"), path))
+
+
+def unit_text_search(spark: SparkSession, d: str) -> DataFrame:
+    """Units of code and notes by rank."""
+    hits = index_bm25(spark, unit_index(spark, d), query_terms("budget overlay"), "unit_id").select("unit_id", F.round("score", 6).alias("score"))
+    return ranked(hits, F.col("score").desc(), F.col("unit_id"), limit=20)
+
+
+def memory_text_search(spark: SparkSession, d: str) -> DataFrame:
+    """Remembered texts by rank."""
+    hits = index_bm25(spark, memory_index(spark, d), query_terms("snapshot budget"), "part_id").select("part_id", F.round("score", 6).alias("score"))
+    return ranked(hits, F.col("score").desc(), F.col("part_id"), limit=20)
+
+
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = bm25(_docs(spark, d), TERMS, F.col("text"), ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+    hits = index_bm25(spark, document_index(spark, d), TERMS, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
     return ranked(hits, F.col("score").desc(), F.col("doc_id"), limit=20).select("doc_id", "score", "rank")
 
 
 def token_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return document_frequency(postings(_docs(spark, d), "doc_id", F.col("text"))).orderBy(F.col("df").desc(), "term").limit(100)
+    return document_frequency(document_index(spark, d).postings(spark)).orderBy(F.col("df").desc(), "term").limit(100)
 
 
 def chunk_search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks ranked over their content, name and path, with a snippet."""
-    files = load_table(spark, d, "files").select("file_id", "path")
-    rows = load_table(spark, d, "chunks").join(files, "file_id").withColumn("all_text", F.concat_ws(" ", "content", "path", F.coalesce("name", F.lit(""))))
+    """Chunks ranked over their content, name and path, with a snippet; only the texts of the page are read whole."""
     terms = query_terms("snapshot overlay")
-    hits = bm25(rows, terms, F.col("all_text"), ["chunk_id", "path", "all_text"])
-    top = hits.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "path", "chunk_id").limit(20)
+    hits = index_bm25(spark, chunk_index(spark, d), terms, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+    named = hits.join(load_table(spark, d, "chunks").select("chunk_id", "file_id"), "chunk_id").join(load_table(spark, d, "files").select("file_id", "path"), "file_id")
+    page = named.orderBy(F.col("score").desc(), "path", "chunk_id").limit(20).select("chunk_id", "score")
+    # the page has 20 rows at most
+    top = _chunk_texts(spark, d).join(F.broadcast(page), "chunk_id")
     return top.select("chunk_id", "path", "score", snippet(tokens(F.col("all_text")), terms).alias("snippet"))
 
 
@@ -64,7 +116,7 @@ def file_search_merged(spark: SparkSession, d: str) -> DataFrame:
     """Path hits before content hits; the first hit of a path holds."""
     files = load_table(spark, d, "files").select("file_id", "path")
     by_path = files.filter(contains_ci(F.col("path"), "overlay")).select("path", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
-    content = bm25(_file_chunks(spark, d), ["overlay"], F.col("content"), ["file_id"]).join(files, "file_id").select("path", F.lit(1).alias("tier"), F.round("score", 6).alias("score"))
+    content = index_bm25(spark, content_index(spark, d), ["overlay"], "file_id").join(files, "file_id").select("path", F.lit(1).alias("tier"), F.round("score", 6).alias("score"))
     merged = best_per_key(by_path.unionByName(content), ["path"], F.col("tier"), F.col("score").desc())
     return merged.orderBy("tier", F.col("score").desc(), F.length("path"), "path").limit(40).select("path", "tier", "score")
 
@@ -193,7 +245,7 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy("source").agg(F.sum(token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_bm25_topk, token_document_frequency, chunk_search_bm25, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, risk_rules, precedent_rank, token_costs)}
+QUERIES = {f.__name__: f for f in (lexical_bm25_topk, unit_text_search, memory_text_search, token_document_frequency, chunk_search_bm25, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, risk_rules, precedent_rank, token_costs)}
 
 _TOK = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')"
 # another way to the same words: a blank before each capitalised word, then the runs of one kind of character
@@ -211,6 +263,8 @@ def _bm25_sql(source: str, key: str, text: str, terms: list[str]) -> str:
 _SYM = "(select distinct symbol_id, name from symbols)"
 ORACLES = {
     "lexical_bm25_topk": f"with {_bm25_sql('documents', 'doc_id', 'text', TERMS)}, r as (select k as doc_id, round(score, 6) as score from bm) select doc_id, score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from r order by score desc, doc_id limit 20",
+    "memory_text_search": f"with src as (select distinct part_id, json_extract_string(payload_json, '$.text') as text from harness_message_parts where kind = 'text'), {_bm25_sql('src', 'part_id', 'text', ['snapshot', 'budget'])}, r as (select k as part_id, round(score, 6) as score from bm) select part_id, score, cast(row_number() over (order by score desc, part_id) as integer) as rank from r order by score desc, part_id limit 20",
+    "unit_text_search": f"with src as (select distinct 'su_' || sha256(concat_ws(chr(31), case when chunk_kind = 'symbol' then 'code' else 'doc' end, cast(file_id as varchar), sha256(content))) as unit_id, content from chunks where content is not null), {_bm25_sql('src', 'unit_id', 'content', ['budget', 'overlay'])}, r as (select k as unit_id, round(score, 6) as score from bm) select unit_id, score, cast(row_number() over (order by score desc, unit_id) as integer) as rank from r order by score desc, unit_id limit 20",
     "token_document_frequency": f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_TOK.format('text')}) as term from documents) group by 1 order by df desc, term limit 100",
     "chunk_search_bm25": f"""with src as (select chunk_id, path, concat_ws(' ', content, path, coalesce(name, '')) as all_text from chunks join files using (file_id)), {_bm25_sql('src', 'chunk_id', 'all_text', ['snapshot', 'overlay'])},
  top as (select k, path, round(score, 6) as score, words from bm join src on k = chunk_id join w using (k) order by score desc, path, k limit 20),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.vectors import cosine
-from lodestrata.operators.search import bm25, ranked, reciprocal_rank_fusion
+from lodestrata.operators.search import ranked, reciprocal_rank_fusion
+from lodestrata.operators.text_index import index_bm25
+from lodestrata.plans.lexical import document_index, memory_index
 from lodestrata.sources import load_table
 
 TERMS = ["snapshot", "budget"]
@@ -26,7 +28,7 @@ def _similar(spark: SparkSession, d: str, limit: int) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    hits = bm25(load_table(spark, d, "documents"), TERMS, F.col("text"), ["doc_id"]).withColumn("score", F.round("score", 5))
+    hits = index_bm25(spark, document_index(spark, d), TERMS, "doc_id").withColumn("score", F.round("score", 5))
     return ranked(hits, F.col("score").desc(), F.col("doc_id"), limit=limit)
 
 
@@ -43,8 +45,7 @@ def hybrid_rrf_topk(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_concatenated_topk(spark: SparkSession, d: str) -> DataFrame:
     """Fusion in which a second lexical source is appended to the first: its ranks go on where those end."""
     first = _lexical(spark, d, depth(25)).select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "rank")
-    parts = load_table(spark, d, "harness_message_parts").filter("kind = 'text'").select("part_id", F.get_json_object("payload_json", "$.text").alias("text")).distinct()
-    hits = bm25(parts, TERMS, F.col("text"), ["part_id"]).withColumn("score", F.round("score", 5))
+    hits = index_bm25(spark, memory_index(spark, d), TERMS, "part_id").withColumn("score", F.round("score", 5))
     second = ranked(hits, F.col("score").desc(), F.col("part_id"), limit=depth(25)).select(F.concat(F.lit("part:"), "part_id").alias("id"), "rank")
     shift = first.agg(F.count("*").alias("n"))
     lexical = first.unionByName(second.join(F.broadcast(shift)).select("id", (F.col("rank") + F.col("n")).alias("rank")))

@@ -7,9 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections import OrderedDict
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 #: The setting in which a cluster names the folder that all of its executors share.
 SHARED_DIR = "spark.checkpoint.dir"
 
@@ -79,6 +83,47 @@ def delete_path(spark: SparkSession, path: str) -> None:
     _scratch.pop(path, None)
 
 
+_stored: OrderedDict[tuple, object] = OrderedDict()
+#: Derived tables that are kept for each application.
+STORED = 48
+
+
+def signature(spark: SparkSession, paths: list[str]) -> tuple:
+    """What tells whether the files below some paths are still the same: their names, lengths and times."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path)]
+    return tuple(sorted(out))
+
+
+def stored(spark: SparkSession, label: str, inputs: list[str], build: Callable[[str], T]) -> T:
+    """What ``build(path)`` made of the files ``inputs`` in the shared folder, made again only if the files have changed.
+
+    The least recently used of more than ``STORED`` such tables is forgotten; its files go when the program ends, as a plan may still read them.
+    """
+    key = (spark.sparkContext.applicationId, label, signature(spark, inputs))
+    if key in _stored:
+        _stored.move_to_end(key)
+    else:
+        _stored[key] = build(new_path(spark, label))
+        if len(_stored) > STORED:
+            _stored.popitem(last=False)
+    return _stored[key]
+
+
+def stored_table(spark: SparkSession, label: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once as long as its inputs stay the same."""
+
+    def write(path: str) -> tuple:
+        df = build()
+        df.write.parquet(path)
+        return path, df.schema
+
+    path, schema = stored(spark, label, inputs, write)
+    return spark.read.schema(schema).parquet(path)
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
