@@ -225,12 +225,6 @@ def tool_rank(spark: SparkSession, d: str) -> DataFrame:
     return tools.select("tool", "calls", score.alias("score"))
 
 
-def risk_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Rules of trigger terms and path globs joined to the files they concern."""
-    rules = spark.createDataFrame([("schema_change", "^[^/]*/(?:db|supabase)/.*$"), ("server_only", "^.*/lib/server/.*$"), ("build_output", "^.*/(?:dist|build|out)/.*$")], "rule string, pattern string")
-    return load_table(spark, d, "files").join(F.broadcast(rules), F.expr("path rlike pattern")).groupBy("rule").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
-
-
 def precedent_rank(spark: SparkSession, d: str) -> DataFrame:
     """Kind base 50 / 45 / 38 / 18, focus 18, generated files less 8; strength by the score."""
     files = load_table(spark, d, "files").select("file_id", "path", "is_generated")
@@ -245,7 +239,7 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy("source").agg(F.sum(token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_bm25_topk, unit_text_search, memory_text_search, token_document_frequency, chunk_search_bm25, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, risk_rules, precedent_rank, token_costs)}
+QUERIES = {f.__name__: f for f in (lexical_bm25_topk, unit_text_search, memory_text_search, token_document_frequency, chunk_search_bm25, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, precedent_rank, token_costs)}
 
 _TOK = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')"
 # another way to the same words: a blank before each capitalised word, then the runs of one kind of character
@@ -309,7 +303,6 @@ ORACLES = {
  s as (select name, case when l = 'loadshard' then 100 when starts_with(l, 'loadshard') then 80 when contains(l, 'loadshard') then 60 when w[1] = 'load' then 40 when w[-1] = 'shard' then 30 else 0 end as score from e) select * from s where score > 0 order by score desc, name limit 25""",
     "tool_rank": """with c as (select tool, count(*) as calls from (select distinct part_id, json_extract_string(payload_json, '$.tool') as tool from harness_message_parts where kind = 'tool_call') where tool is not null group by 1)
  select tool, calls, cast(case when tool = 'file_search' then 120 when starts_with(tool, 'file') then 70 when contains(tool, 'search') then 35 else 0 end + case when contains(tool, 'symbol') then 40 else 0 end + case when contains(tool, 'map') then 40 else 0 end as double) as score from c""",
-    "risk_rules": """select rule, count(*) as files, min(path) as first_path from files join (values ('schema_change', '^[^/]*/(?:db|supabase)/.*$'), ('server_only', '^.*/lib/server/.*$'), ('build_output', '^.*/(?:dist|build|out)/.*$')) r(rule, pattern) on regexp_matches(path, pattern) group by 1""",
     "precedent_rank": """with r as (select s.kind, cast(case when s.kind = 'function' then 50 when s.kind = 'method' then 45 when s.kind = 'class' then 38 else 18 end + case when contains(path, '/core/') then 18 else 0 end - case when coalesce(is_generated, 0) = 1 then 8 else 0 end + case when starts_with(lower(s.name), 'resolve') then 12 else 0 end as double) as score
  from (select distinct symbol_id, file_id, kind, name from symbols) s join files using (file_id))
  select kind, case when score >= 60 then 'safe' when score >= 45 then 'partial' else 'weak' end as strength, count(*) as symbols, max(score) as best from r group by 1, 2""",

@@ -100,13 +100,6 @@ def overload_prefix_join(spark: SparkSession, d: str) -> DataFrame:
     return refs.join(defs, "bare").select("function_name", "name", "object_type")
 
 
-def guard_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Three checks before a commit: generated files without a hash, deleted files with a size, source without lines."""
-    f = load_table(spark, d, "files")
-    code = F.when((F.col("is_generated") == 1) & F.col("sha256").isNull(), "generated_unhashed").when((F.col("is_deleted") == 1) & (F.col("size_bytes") > 0), "deleted_sized").when((F.col("is_deleted") == 0) & (F.col("line_count") == 0), "empty_source")
-    return f.select(code.alias("code"), "path").filter("code is not null").groupBy("code").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
-
-
 def sarif_report(spark: SparkSession, d: str) -> DataFrame:
     """SARIF results of the errors, counted by what a reader would find in them."""
     r = sarif_results(findings._findings(spark, d))
@@ -145,7 +138,7 @@ def project_status(spark: SparkSession, d: str) -> DataFrame:
     return base.join(open_, "workspace", "left").select("workspace", "files", "stale", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
-QUERIES = {f.__name__: f for f in (file_list, imports_of_files, fact_list, multi_column_search, json_membership, null_safe_filter, locator_resolution, issue_dedupe, foreign_keys_both_ways, orphan_targets, sessions_without_messages, latest_state_per_trace, usage_by_session_tier, overload_prefix_join, guard_checks, sarif_report, markdown_sections, table_preflight, error_trace, project_status)}
+QUERIES = {f.__name__: f for f in (file_list, imports_of_files, fact_list, multi_column_search, json_membership, null_safe_filter, locator_resolution, issue_dedupe, foreign_keys_both_ways, orphan_targets, sessions_without_messages, latest_state_per_trace, usage_by_session_tier, overload_prefix_join, sarif_report, markdown_sections, table_preflight, error_trace, project_status)}
 
 _C, _F = codebase, findings
 _SQLP = f"{_C._TEXTS}, {_C._SQLT}, {_C._OBJ}, {_C._COLS}, {_C._FREF}"
@@ -164,7 +157,6 @@ ORACLES = {
     "latest_state_per_trace": "with m as (select distinct session_id, message_id, created_at, ordinal from harness_messages where session_id is not null qualify row_number() over (partition by session_id order by created_at desc nulls last, ordinal desc, message_id) = 1) select session_id, status, message_id from (select distinct session_id, status from harness_sessions) left join m using (session_id)",
     "usage_by_session_tier": "select tier, active_model, count(*) as messages, count(distinct m.session_id) as sessions from (select distinct message_id, session_id from harness_messages) m left join (select distinct session_id, tier, active_model from harness_sessions) s on m.session_id = s.session_id group by 1, 2",
     "overload_prefix_join": f"with {_SQLP}, r as (select function_name, regexp_replace(table_name, '^\\w+\\.', '') as bare from refs group by 1, 2), o as (select distinct name, object_type, regexp_replace(name, '^\\w+\\.', '') as bare from objs) select function_name, name, object_type from r join o using (bare)",
-    "guard_checks": "with c as (select path, case when is_generated = 1 and sha256 is null then 'generated_unhashed' when is_deleted = 1 and size_bytes > 0 then 'deleted_sized' when is_deleted = 0 and line_count = 0 then 'empty_source' end as code from files) select code, count(*) as files, min(path) as first_path from c where code is not null group by 1",
     "sarif_report": f"with {_F._FIND} select rule, case severity when 'error' then 'error' when 'warning' then 'warning' else 'note' end as level, count(*) as results, cast(max(line_no) as integer) as last_line from found group by 1, 2",
     "table_preflight": f"""with {_SQLP}, c as (select table_name, count(distinct column_name) as columns from cols group by 1), r as (select table_name, count(distinct function_name) as readers from refs group by 1),
  o as (select name, min(path) as defined_in, regexp_replace(name, '^\\w+\\.', '') as bare from objs where object_type = 'table' group by 1), w as (select path, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z_][a-z0-9_]*'))) as bare from texts), u as (select name as table_name, count(*) as files from w join o using (bare) where path <> defined_in group by 1),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with ``QUERIES`` (name to callable) and ``ORACLES`` (name to SQL).
-MODULES = ("lexical", "rollups", "histories", "codebase", "findings", "vectors", "router", "changes", "lookups", "message_trees")
+MODULES = ("lexical", "rollups", "histories", "codebase", "findings", "vectors", "router", "changes", "lookups", "message_trees", "analysis")
 FLAGSHIP = "lexical_bm25_topk"
 
 
