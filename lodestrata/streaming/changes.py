@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from lodestrata.operators.graph import reachable
+from lodestrata.operators.search import best_per_key
+from lodestrata.runtime import written
+from lodestrata.sources.store import SnapshotStore
+
 DEBOUNCE, MAX_DELAY = "3 seconds", 60
 MAX_PATHS = 500
 
@@ -92,6 +97,59 @@ def apply_exactly_once(stream: DataFrame, apply: Callable[[DataFrame, int], None
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def apply_to_store(stream: DataFrame, store: SnapshotStore, keys: list[str], checkpoint: str, time: str | None = None):  # noqa: ANN201
+    """Applies each micro-batch to a keyed table exactly once, whatever fails when.
+
+    The revision (batch id plus 1) is part of the version that the batch makes, and both become current with one pointer: a batch
+    that is repeated after a failure finds its revision there and changes nothing.  Of several rows of a key in a batch the latest by ``time`` holds.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if store.revision() >= batch_id + 1:
+            return
+        rows = best_per_key(batch, keys, F.col(time).desc()) if time else batch.dropDuplicates(keys)
+        store.replace_keys(rows, keys, revision=batch_id + 1)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scoped_refresh(store: SnapshotStore, changes: DataFrame, scan: Callable[[DataFrame | None], DataFrame], keys: list[str], **signals: bool) -> tuple[str, str]:
+    """Brings a table up to date after a change set, path by path where :func:`refresh_scope` allows it, else whole.
+
+    ``changes`` has the keys and ``deleted``; ``scan`` gives the rows of the given keys, or all rows for None.  Returns the scope and its reason.
+    """
+    latest = changes.groupBy(*keys).agg(F.max("deleted").alias("deleted"))
+    paths = latest.count()
+    scope, reason = refresh_scope(paths, indexed=store.current() is not None, **signals)
+    if scope == "full":
+        store.replace(scan(None), keys=keys)
+    elif paths:
+        present = latest.filter("not deleted").select(*keys)
+        store.replace_keys(scan(present), keys, latest.select(*keys))
+    return scope, reason
+
+
+def affected(dependencies: DataFrame, changed: DataFrame) -> DataFrame:
+    """``node, depth`` of the calculation nodes to run again, from ``node, needs`` rows and changed nodes (column ``node``).
+
+    ``depth`` is the longest way from a change, so that running by depth respects every dependence.  A cycle among them is an error.
+    """
+    edges = dependencies.select(F.col("needs").alias("src"), F.col("node").alias("dst")).distinct()
+    reach = reachable(edges, changed)
+    inside = written(edges.join(reach.select(F.col("node").alias("src")), "src").join(reach.select(F.col("node").alias("dst")), "dst").select("src", "dst"), "affected-edges")
+    total, order, left = reach.count(), None, written(reach.select("node"), "affected-left")
+    for depth in range(total + 1):
+        waiting = inside.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        ready = written(left.join(waiting, "node", "left_anti").select("node", F.lit(depth).alias("depth")), "affected-ready")
+        if not ready.head(1):
+            if left.head(1):
+                raise ValueError("calculation nodes depend on each other")
+            break
+        order = ready if order is None else order.unionByName(ready)
+        left = written(left.join(ready.select("node"), "node", "left_anti"), "affected-left")
+    return order if order is not None else reach
+
+
 _STATE = "status string, scans int"
 _EVENTS = "fingerprint string, event string, scan long"
 

@@ -3,8 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.sources.store import SnapshotStore, append_operations, read_operations, sarif_document, sarif_results
-from lodestrata.streaming.changes import affected_nodes, apply_exactly_once, change_sets, deduplicated, finding_lifecycle_stream, refresh_scope, session_counts, windowed_counts
+from lodestrata.sources.store import SnapshotStore, append_operations, read_operations, sarif_document, sarif_file, sarif_results
+from lodestrata.streaming.changes import affected, affected_nodes, apply_exactly_once, apply_to_store, change_sets, deduplicated, finding_lifecycle_stream, refresh_scope, scoped_refresh, session_counts, windowed_counts
 
 T0 = datetime(2025, 1, 1)
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -106,3 +106,94 @@ def test_operation_log_and_sarif(spark, tmp_path):
 
     text = "".join(open(p).read() for p in sorted(glob.glob(f"{tmp_path}/sarif/*/part-*.txt")))
     assert json.loads(text)["runs"][0]["results"][0]["level"] == "warning"
+
+
+def rows_of(store):
+    return sorted(map(tuple, store.read().collect()))
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.replace(spark.range(200).selectExpr("id as k", "'a' as v"), keys=["k"])
+    before = store.manifest()["parts"]
+    store.replace_keys(spark.createDataFrame([(7, "b")], "k long, v string"), ["k"])
+    after = store.manifest()["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(rows_of(store)) == 200 and (7, "b") in rows_of(store)
+    store.mark_stale("sources changed")
+    assert store.stale() == "sources changed"
+    store.replace_keys(spark.createDataFrame([], "k long, v string"), ["k"], spark.range(200).withColumnRenamed("id", "k"))
+    assert rows_of(store) == [] and store.stale() is None
+
+
+def test_half_written_pointers_and_races(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    first = store.replace(spark.createDataFrame([(1, "a")], "k long, v string"), keys=["k"])
+    (tmp_path / "store" / "CURRENT-000000002").write_text("v00")  # a writer that died
+    assert store.current() == first and rows_of(store) == [(1, "a")]
+    other = SnapshotStore(spark, f"file://{tmp_path}/store")
+    inner, tried = store._write, []
+
+    def slow(df, version, keys, partition_by=None):
+        parts = inner(df, version, keys, partition_by)
+        if not tried:
+            tried.append(1)
+            other.replace_keys(spark.createDataFrame([(2, "b")], "k long, v string"), ["k"])
+        return parts
+
+    store._write = slow
+    store.replace_keys(spark.createDataFrame([(3, "c")], "k long, v string"), ["k"])
+    assert rows_of(store) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_killed_query_applies_no_batch_twice(spark, tmp_path):
+    df = spark.createDataFrame([(i % 5, i) for i in range(30)], "k long, n long")
+    stream, store = streamed(spark, tmp_path, df, 3), SnapshotStore(spark, f"file://{tmp_path}/store")
+    inner, applied = store.replace_keys, []
+
+    def dying(rows, keys, **kw):
+        version = inner(rows, keys, **kw)
+        applied.append(kw["revision"])
+        if len(applied) == 2:
+            raise RuntimeError("killed after the commit, before the batch was marked as done")
+        return version
+
+    store.replace_keys = dying
+    with pytest.raises(Exception, match="killed"):
+        apply_to_store(stream, store, ["k"], str(tmp_path / "ck"), "n").awaitTermination()
+    fresh = SnapshotStore(spark, f"file://{tmp_path}/store")  # a new program knows only what is stored
+    assert fresh.revision() == 2
+    fresh.replace_keys = lambda rows, keys, **kw: applied.append(kw["revision"]) or SnapshotStore.replace_keys(fresh, rows, keys, **kw)
+    apply_to_store(stream, fresh, ["k"], str(tmp_path / "ck"), "n").awaitTermination()
+    assert applied == [1, 2, 3] and fresh.revision() == 3 and len(rows_of(fresh)) == 5
+
+
+def test_scoped_refresh(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    texts = {"a": "1", "b": "2"}
+
+    def scan(keys):
+        df = spark.createDataFrame(list(texts.items()), "path string, text string")
+        return df if keys is None else df.join(keys, "path", "left_semi")
+
+    changes = lambda *rows: spark.createDataFrame(list(rows), "path string, deleted boolean")
+    assert scoped_refresh(store, changes(), scan, ["path"]) == ("full", "never indexed")
+    texts.update(a="9", b="8")
+    assert scoped_refresh(store, changes(("a", False), ("b", True), ("zz", False)), scan, ["path"])[0] == "paths" and rows_of(store) == [("a", "9")]
+    assert scoped_refresh(store, changes(("a", False)), scan, ["path"], schema_changed=True)[0] == "full" and len(rows_of(store)) == 2
+
+
+def test_affected_nodes_as_tables(spark):
+    deps = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y")], "node string, needs string")
+    seed = spark.createDataFrame([("a",)], "node string")
+    assert sorted(map(tuple, affected(deps, seed).collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    with pytest.raises(ValueError):
+        affected(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, needs string"), seed)
+
+
+def test_sarif_is_one_file(spark, tmp_path):
+    import json
+
+    findings = spark.createDataFrame([("r", "warning", f"a{i}.ts", i, "x", f"f{i}") for i in range(20)], "rule string, severity string, path string, line_no int, excerpt string, fingerprint string").repartition(3)
+    sarif_file(findings, f"file://{tmp_path}/out.sarif")
+    results = json.loads((tmp_path / "out.sarif").read_text())["runs"][0]["results"]
+    assert sorted(r["partialFingerprints"]["primary"] for r in results if r) == sorted(f"f{i}" for i in range(20))
