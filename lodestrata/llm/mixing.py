@@ -78,8 +78,9 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 1, total_tokens:
     upto = lambda k: F.floor(k * F.col("copies") + F.col("offset"))
     times = at.withColumn("times", F.least(upto(F.col("rank") + 1) - upto(F.col("rank")), F.col("max_repeats").cast("long")))
     taken = times.filter("times > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
-    mixture = written(taken.select("doc_id", "source", "copy", "n_tokens"), "mix")
-    reached = mixture.groupBy("source").agg(F.count("*").alias("taken_docs"), F.sum(F.col("n_tokens").cast("long")).alias("taken_tokens"))
+    mixture = taken.select("doc_id", "source", "copy", "n_tokens")
+    # from the number of copies, before they become rows
+    reached = times.filter("times > 0").groupBy("source").agg(F.sum("times").alias("taken_docs"), F.sum(F.col("n_tokens").cast("long") * F.col("times")).alias("taken_tokens"))
     report = plan.join(reached, "source", "left").fillna(0, ["taken_docs", "taken_tokens"])
     actual = F.try_divide(F.col("taken_tokens"), F.sum("taken_tokens").over(Window.partitionBy(F.lit(1))))
     return mixture, report.select("source", "target_share", "max_repeats", "n_docs", "available_tokens", "copies", "taken_docs", "taken_tokens", F.coalesce(actual, F.lit(0.0)).alias("actual_share"))

@@ -14,21 +14,24 @@ cache of bounded size, which changes the speed and never the result.
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.runtime import spread
 
 #: Fixed value: the split that the rank files of the public tokenizers go with.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Where the public vocabulary lies on every node; a parameter of all functions.
+#: Where the public vocabulary lies on the driver, which sends it to the others; a parameter of all functions.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Remembered words and token pairs of one worker.
 CACHE_ENTRIES = 400_000
@@ -152,8 +155,28 @@ class TrieEncoder:
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> TrieEncoder:
     """The encoder of a rank file (a base64 token and its rank in each line); one per worker."""
-    with open(vocabulary, "rb") as f:
-        return TrieEncoder({base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())})
+    return TrieEncoder(ranks(vocabulary))
+
+
+def ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    """The ranks of a vocabulary, from the copy that was sent to this node or, without one, from its own place."""
+    try:
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+    except Exception:  # no session in this process
+        sent = ""
+    with open(sent if sent and os.path.exists(sent) else vocabulary, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+
+
+def send_vocabulary(spark: SparkSession, vocabulary: str) -> None:
+    """Sends the file to all nodes, once for each application."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _sent and os.path.exists(vocabulary):
+        spark.sparkContext.addFile(vocabulary)
+        _sent.add(key)
+
+
+_sent: set[tuple[str, str]] = set()
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -184,6 +207,7 @@ def _run(vocabulary: str, counts: bool):
 
 
 def _encoded(df: DataFrame, keep: list[str], text_col: str, vocabulary: str, counts: bool) -> DataFrame:
+    send_vocabulary(df.sparkSession, vocabulary)
     narrow = df.select(*keep, F.col(text_col).cast("binary").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     return spread(narrow).mapInArrow(_run(vocabulary, counts), f"{kept}{', ' if kept else ''}{'n_tokens int' if counts else 'ids array<int>'}")
@@ -202,3 +226,26 @@ def token_ids(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary
 def token_counts(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Like :func:`token_ids`, with the number of ids as ``n_tokens`` instead."""
     return _encoded(df, keep, text_col, vocabulary, True)
+
+
+def _lengths(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ranks(vocabulary)
+        sizes = np.zeros(max(known.values(), default=0) + 1, np.int64)
+        for token, i in known.items():
+            sizes[i] = len(token)
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            ends = np.concatenate([[0], np.cumsum(sizes[np.asarray(lists.flatten())])])
+            bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ends[bounds[1:]] - ends[bounds[:-1]])], names=[*b.schema.names[:-1], "n_bytes"])
+
+    return run
+
+
+def encoded_bytes(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keep`` and ``n_bytes``: how many bytes the tokens of :func:`token_ids` stand for."""
+    send_vocabulary(encoded.sparkSession, vocabulary)
+    narrow = encoded.select(*keep, "ids")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema.fields[:-1])
+    return narrow.mapInArrow(_lengths(vocabulary), f"{kept}n_bytes long")
