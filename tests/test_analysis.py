@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import expand_identifier
 from lodestrata.operators import context, graph, guards, schema
+from lodestrata.operators.history import in_order, retained_tail
 from lodestrata.operators.search import bm25
 from lodestrata.operators.text_index import bucket_of, build_index, index_bm25
 from lodestrata.runtime import signature, stored_table
@@ -136,3 +137,27 @@ def test_words_of_identifiers(spark):
     cases = {"parseHTTPResponse2xx": "parse HTTP Response 2 xx", "snake_case-name.ts": "snake case name ts", "__x": "x", "A": "A", "": "", "a::B/c\\d": "a B c d", "URLs": "UR Ls"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.e for r in rows.select("t", expand_identifier(F.col("t")).alias("e")).collect()} == cases
+
+
+def test_order_over_ranges_of_a_hot_key(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else f"k{i % 4}", rnd.randrange(10**6), i) for i in range(400)]
+    for desc in (False, True):
+        df = spark.createDataFrame(rows, "k string, at long, n long")
+        order = [F.col(c).desc() if desc else F.col(c) for c in ("at", "n")]
+        got = {r.n: (r["__position"], r["__prev"] and r["__prev"].n, r["__next"] and r["__next"].n) for r in in_order(df, ["k"], order).collect()}
+        want = {}
+        for k in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]), reverse=desc)
+            for i, r in enumerate(own):
+                want[r[2]] = (i + 1, own[i - 1][2] if i else None, own[i + 1][2] if i + 1 < len(own) else None)
+        assert got == want
+    assert in_order(df.limit(0), ["k"], order).count() == 0
+
+
+def test_retained_tail(spark):
+    df = spark.createDataFrame([("a", i, 100) for i in range(10)] + [("b", i, 1) for i in range(10)] + [(None, 1, 5)], "k string, at long, tokens long")
+    rows = retained_tail(df.filter("k is not null"), ["k"], ["at"], "tokens", 400).collect()
+    assert {(r.k, r.at) for r in rows if r.archive} == {("a", i) for i in range(6)} and len(rows) == 20
