@@ -64,7 +64,7 @@ def flow_map(spark: SparkSession, d: str) -> DataFrame:
     start = home.join(touches.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").agg(F.min("src")).first()[0]
     target = touches.join(home.filter(F.col("src") == F.lit(start)).select(F.col("dst").alias("src")), "src", "left_semi").agg(F.max("dst")).first()[0]
     path = graph.shortest_path(home.unionByName(touches).unionByName(imports), start or "", target or "", 6)
-    steps = path.select(F.posexplode(F.split("path", ">")).alias("step", "node")).withColumn("kind", F.element_at(F.split("node", ":"), 1))
+    steps = path.select(F.posexplode(F.split("path", ">")).alias("step", "node")).filter("node <> ''").withColumn("kind", F.element_at(F.split("node", ":"), 1))
     before = steps.select((F.col("step") + 1).alias("step"), F.col("kind").alias("from_kind"))
     return steps.join(before, "step", "left").select("step", "node", "kind", F.coalesce(F.col("kind") != F.col("from_kind"), F.lit(False)).alias("boundary"))
 
