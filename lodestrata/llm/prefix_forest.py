@@ -14,8 +14,8 @@ of others nor costs more than its rows.
 Scale: a forest of ``trees`` sorted arrays lives in one task, and holds at most about ``CELL`` vectors of one model and dim: that bounds
 memory, and a vector is sent once for all trees, not once for each.  Larger collections are cut into cells by the first bits of strings
 of their own, so that a cell is a whole subtree; this is repeated in several groups with other strings, as a vector's neighbours can stand
-in another cell of one group.  Where to cut is fitted on a bounded sample of strings (``SAMPLE`` rows);
-every vector is indexed.  A subtree of equal strings too large for a cell is cut by a projection instead.
+in another cell of one group.  Where to cut is fitted on a bounded sample of strings (``SAMPLE`` rows), how often on the angles between
+sampled vectors (``FIT_ROWS``); every vector is indexed.  A subtree of equal strings too large for a cell is cut by a projection instead.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ TREES, BITS, REACH = 16, 64, 128
 ENOUGH = 60
 #: Vectors in a cell, vectors that ask in one task, and sampled strings from which the cells are cut.
 CELL, SLICE, SAMPLE = 65_536, 20_480, 1_000_000
+#: Sampled vectors that tell how many groups are needed: of one collection, and in all; and the most groups that are made.
+FIT_ROWS, FIT_TOTAL, MOST_GROUPS = 16_384, 200_000, 40
 SEED = 20
 _BLOCK, _BLOCK_CELLS = 512, 4_000_000
 #: Places beyond k among which float32 products find the best k, and the error of such a product.
@@ -349,9 +351,37 @@ def _cell_search(k: int, reach: int, trees: int, seed: int):
     return run
 
 
-def groups_of(n: int) -> int:
-    """How many times a collection is cut into cells."""
-    return 1 if n <= CELL else 2 + math.ceil(1.5 * math.log2(n / CELL))
+def groups_of(n: int, cell: int | None = None) -> int:
+    """How many times a collection is cut into cells, where nothing is known of its vectors."""
+    cell = cell or CELL
+    return 1 if n <= cell else 2 + math.ceil(1.5 * math.log2(n / cell))
+
+
+def fitted_groups(units: np.ndarray, n: int, k: int, cell: int | None = None, wanted: float = 0.965) -> int:
+    """How many times ``n`` vectors, of which ``units`` is a sample, must be cut into cells so that neighbours meet.
+
+    The angles to the k-th neighbour in a quarter of the sample and in all of it tell how they shrink as a collection grows, and so
+    what they are among all ``n``.  Two vectors at an angle have equal sides of a hyperplane with a known probability, and share a
+    cell with that of as many bits as cut the collection; each group is a new chance.
+    """
+    cell = cell or CELL
+    least = groups_of(n, cell)
+    asked = units[: min(400, len(units) // 8)]
+    if n <= cell or len(asked) < 50:
+        return least
+
+    def angles(m: int) -> np.ndarray:
+        cosines = np.sort(asked @ units[:m].T, axis=1)[:, -k - 1]  # the vector itself is among them
+        return np.arccos(np.clip(cosines, -1, 1))
+
+    few, many = angles(max(len(asked) + k, len(units) // 4)), angles(len(units))
+    rate = max(0.0, math.log(max(float(np.median(few)), 1e-6) / max(float(np.median(many)), 1e-6)) / math.log(4))
+    near = many * (len(units) / n) ** rate
+    meets = 0.9 * (1 - near / np.pi) ** math.log2(n / (0.5 * cell))
+    for groups in range(least, MOST_GROUPS):
+        if float(np.mean(1 - (1 - meets) ** groups)) >= wanted:
+            return groups
+    return MOST_GROUPS
 
 
 def cut_cells(strings: np.ndarray, ties: np.ndarray, n: int, cell: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -489,9 +519,17 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
     groups = {s: groups_of(n) for s, n in sizes.items() if n > CELL}
     cuts: dict[str, list[tuple]] = {}
     if groups:
+        fit_rows = min(FIT_ROWS, FIT_TOTAL // len(groups))
         share = min(1.0, SAMPLE / sum(sizes[s] for s in groups))
         large = spark.createDataFrame([(s,) for s in groups], "space string")
         some = reps.join(F.broadcast(large), "space", "left_semi").filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        few = F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(1 << 20)) < F.create_map(*(F.lit(x) for s in groups for x in (s, int((1 << 20) * fit_rows / sizes[s]))))[F.col("space")]
+        fit = reps.join(F.broadcast(large), "space", "left_semi").filter(few).select("space", "unit").toArrow()
+        named = np.array(fit.column(0).to_pylist(), dtype=object)
+        for space in groups:
+            own = [x for x, it in zip(fit.column(1).to_pylist(), named == space) if it]
+            units = np.frombuffer(b"".join(own), dtype=np.float32).reshape(len(own), -1) if own else np.zeros((0, 1), np.float32)
+            groups[space] = fitted_groups(units, sizes[space], k)
         sample = some.select("space", "unit").mapInArrow(_sample_batches(groups, seed), "space string, hashes array<long>, ties array<double>").toArrow()
         of = np.array(sample.column(0).to_pylist(), dtype=object)
         hashes, ties = (sample.column(i).to_pylist() for i in (1, 2))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm import prefix_forest
-from lodestrata.llm.prefix_forest import BITS, _planes, best_in_array, cut_cells, groups_of, hash_strings, nearest, search_forest, similar_pairs, stop_depths, told_apart
+from lodestrata.llm.prefix_forest import BITS, _planes, best_in_array, cut_cells, fitted_groups, groups_of, hash_strings, nearest, search_forest, similar_pairs, stop_depths, told_apart
 
 SCHEMA = "embedding_id long, model string, dim int, vector array<float>, rank string"
 
@@ -165,3 +165,15 @@ def test_collections_larger_than_a_cell(spark, monkeypatch, noise):
     np.fill_diagonal(far, np.inf)
     best = np.argsort(far, axis=1)[:, :5]
     assert sum(len(by[i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.9 * 5 * len(rows)
+
+
+def test_groups_follow_the_angles():
+    rnd = np.random.default_rng(2)
+    noise = rnd.standard_normal((4000, 48))
+    close = np.repeat(rnd.standard_normal((200, 48)), 20, axis=0) + 0.05 * rnd.standard_normal((4000, 48))
+
+    def fitted(m, n):
+        return fitted_groups((m / np.linalg.norm(m, axis=1, keepdims=True))[rnd.permutation(len(m))].astype(np.float32), n, 5)
+
+    assert fitted(noise, 10**6) > 1.3 * fitted(close, 10**6) >= groups_of(10**6)
+    assert fitted(noise, 1000) == 1 and fitted(noise[:10], 10**6) == groups_of(10**6)
