@@ -14,7 +14,7 @@ of others nor costs more than its rows.
 Scale: a forest of ``trees`` sorted arrays lives in one task, and holds at most about ``CELL`` vectors of one model and dim: that bounds
 memory, and a vector is sent once for all trees, not once for each.  Larger collections are cut into cells by the first bits of strings
 of their own, so that a cell is a whole subtree; this is repeated in several groups with other strings, as a vector's neighbours can stand
-in another cell of one group.  Where to cut is fitted on a bounded sample of strings (``SAMPLE`` rows), how often on the angles between
+in another cell of one group.  Where to cut is fitted on a bounded sample of strings (``SAMPLE`` in all), how often on the angles between
 sampled vectors (``FIT_ROWS``); every vector is indexed.  A subtree of equal strings too large for a cell is cut by a projection instead.
 """
 
@@ -39,7 +39,7 @@ TREES, BITS, REACH = 16, 64, 128
 #: Candidates asked for grow with the root of the vectors in the forest: the factor.
 ENOUGH = 60
 #: Vectors in a cell, vectors that ask in one task, and sampled strings from which the cells are cut.
-CELL, SLICE, SAMPLE = 65_536, 20_480, 1_000_000
+CELL, SLICE, SAMPLE = 65_536, 20_480, 8_000_000
 #: Sampled vectors that tell how many groups are needed: of one collection, and in all; and the most groups that are made.
 FIT_ROWS, FIT_TOTAL, MOST_GROUPS = 16_384, 200_000, 40
 SEED = 20
@@ -418,12 +418,16 @@ def _by_dim(b: pa.RecordBatch, space: int, unit: int) -> Iterator[tuple[np.ndarr
         yield at, spaces[at], np.frombuffer(b"".join(units[i] for i in at), dtype=np.float32).reshape(len(at), -1)
 
 
-def _sample_batches(groups: dict[str, int], seed: int):
+def _group_strings(m: np.ndarray, group: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, projections) by which one group is cut into cells."""
+    return hash_strings(m, 1, seed + 1 + group)[:, 0], (m.astype(np.float64) @ _lines(m.shape[1], 1, seed + group))[:, 0]
+
+
+def _sample_batches(most: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, spaces, m in _by_dim(b, 0, 1):
-                most = max(groups[s] for s in spaces)
-                hashes, ties = hash_strings(m, most, seed + 1), m.astype(np.float64) @ _lines(m.shape[1], most, seed)
+                hashes, ties = (np.stack(x, axis=1) for x in zip(*(_group_strings(m, g, seed) for g in range(most))))
                 yield pa.RecordBatch.from_arrays([pa.array(spaces, pa.string()), pa.array(list(hashes), _SAMPLED[1].type), pa.array(list(ties), _SAMPLED[2].type)], schema=_SAMPLED)
 
     return run
@@ -450,14 +454,13 @@ def _cell_batches(sizes: dict[str, int], cuts: dict[str, list[tuple]], seed: int
                         for part in range(parts):
                             yield rows(names, ids, own, 0, zero, part, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts) == part)
                         continue
-                    groups = len(cuts[space])
-                    hashes, ties = hash_strings(m[some], groups, seed + 1), m[some].astype(np.float64) @ _lines(m.shape[1], groups, seed)
                     for g, (starts, finer) in enumerate(cuts[space]):
-                        s = hashes[:, g].copy().view(np.uint64) ^ np.uint64(1 << 63)
+                        strings, ties = _group_strings(m[some], g, seed)
+                        s = strings.copy().view(np.uint64) ^ np.uint64(1 << 63)
                         cell = np.searchsorted(starts, s, side="right").astype(np.int64) << 20
                         for string, parts in finer.items():
                             equal = s == np.uint64(string)
-                            cell[equal] += np.searchsorted(parts, ties[equal, g])
+                            cell[equal] += np.searchsorted(parts, ties[equal])
                         yield rows(names, ids, own, g, cell, 0, np.ones(len(ids), bool))
 
     return run
@@ -520,9 +523,7 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
     cuts: dict[str, list[tuple]] = {}
     if groups:
         fit_rows = min(FIT_ROWS, FIT_TOTAL // len(groups))
-        share = min(1.0, SAMPLE / sum(sizes[s] for s in groups))
         large = spark.createDataFrame([(s,) for s in groups], "space string")
-        some = reps.join(F.broadcast(large), "space", "left_semi").filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
         few = F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(1 << 20)) < F.create_map(*(F.lit(x) for s in groups for x in (s, int((1 << 20) * fit_rows / sizes[s]))))[F.col("space")]
         fit = reps.join(F.broadcast(large), "space", "left_semi").filter(few).select("space", "unit").toArrow()
         named = np.array(fit.column(0).to_pylist(), dtype=object)
@@ -530,14 +531,15 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
             own = [x for x, it in zip(fit.column(1).to_pylist(), named == space) if it]
             units = np.frombuffer(b"".join(own), dtype=np.float32).reshape(len(own), -1) if own else np.zeros((0, 1), np.float32)
             groups[space] = fitted_groups(units, sizes[space], k)
-        sample = some.select("space", "unit").mapInArrow(_sample_batches(groups, seed), "space string, hashes array<long>, ties array<double>").toArrow()
+        most = max(groups.values())
+        share = min(1.0, SAMPLE / most / sum(sizes[s] for s in groups))
+        some = reps.join(F.broadcast(large), "space", "left_semi").filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        sample = some.select("space", "unit").mapInArrow(_sample_batches(most, seed), "space string, hashes array<long>, ties array<double>").toArrow().combine_chunks()
         of = np.array(sample.column(0).to_pylist(), dtype=object)
-        hashes, ties = (sample.column(i).to_pylist() for i in (1, 2))
+        hashes, ties = (np.concatenate([np.asarray(c.flatten()) for c in sample.column(i).chunks] or [np.zeros(0)]).reshape(-1, most) for i in (1, 2))
         for space, n_groups in groups.items():
             at = np.flatnonzero(of == space)
-            h = np.array([hashes[i][:n_groups] for i in at], np.int64).reshape(len(at), n_groups)
-            t = np.array([ties[i][:n_groups] for i in at]).reshape(len(at), n_groups)
-            cuts[space] = [cut_cells(h[:, g].copy(), t[:, g], sizes[space], CELL) for g in range(n_groups)]
+            cuts[space] = [cut_cells(hashes[at, g].astype(np.int64), ties[at, g], sizes[space], CELL) for g in range(n_groups)]
     heavy = sum(sum(len(starts) + 1 + sum(map(len, finer.values())) for starts, finer in c) for c in cuts.values()) + sum(-(-n // SLICE) for s, n in sizes.items() if s not in cuts)
     tasks = max(shuffle_tasks(spark), min(8 * heavy, 3 * heavy + 64))  # more than cells, as several can meet in one task
     places = reps.select("space", F.col("rep").alias("id"), "unit").mapInArrow(_cell_batches(sizes, cuts, seed), "space string, grp int, cell long, slice int, asks boolean, id long, unit binary")

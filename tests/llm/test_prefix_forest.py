@@ -177,3 +177,18 @@ def test_groups_follow_the_angles():
 
     assert fitted(noise, 10**6) > 1.3 * fitted(close, 10**6) >= groups_of(10**6)
     assert fitted(noise, 1000) == 1 and fitted(noise[:10], 10**6) == groups_of(10**6)
+
+
+def test_several_large_collections_of_one_dim(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "CELL", 700)
+    rows = {i: (("a", 16), v) for i, v in enumerate(clustered(3000, 16, 6, groups=300, noise=0.2))} | {5000 + i: (("b", 16), v) for i, v in enumerate(np.random.default_rng(1).standard_normal((1500, 16)))}
+    by = {}
+    for r in nearest(frame(spark, rows)).collect():
+        by.setdefault(r.embedding_id, set()).add(r.neighbour_id)
+    for ids in (range(3000), range(5000, 6500)):
+        u = np.stack([rows[i][1] for i in ids])
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        c = u @ u.T
+        np.fill_diagonal(c, -2)
+        best = np.argsort(-c, axis=1)[:, :5] + ids[0]
+        assert sum(len(by[i] & set(b.tolist())) for i, b in zip(ids, best)) >= 0.9 * 5 * len(ids)
