@@ -29,6 +29,7 @@ TIMEOUT = "1 day"
 #: How far the watermark stays behind the newest event, micro-batches at least, and rows in one at most.
 LATENESS, SLICES, BATCH_ROWS = "1 hour", 4, 5_000_000
 _STATE = {
+    "spark.sql.streaming.numRecentProgressUpdates": "10000",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",

@@ -45,6 +45,8 @@ _BULLETS = "-*+•‣▪◦·–"
 _CLOSING = "\"'”’»)]"
 #: Characters in one numpy pass, and words in a stretch without a sentence end.
 _PASS_CHARS, _CHUNK_WORDS = 1_000_000, 40
+#: Characters of a text beyond which it is measured in segments of whole lines.
+LONG_CHARS = 8_000_000
 _GAP = 0x20
 
 # Names of the kinds of lines in a text that is no prose.
@@ -214,16 +216,52 @@ def _running(p: dict, strict: np.ndarray) -> np.ndarray:
 
 def measure(texts: list[str | None], layout: bool = True) -> dict[str, np.ndarray]:
     """The statistics of :func:`text_quality` for a list of texts; without ``layout`` every line is read as prose."""
-    out: dict[str, list[np.ndarray]] = {}
-    start = 0
     cleaned = [_clean(t) for t in texts]
+    pieces = [(i, s) for i, t in enumerate(cleaned) for s in (_segments(t) if len(t) > LONG_CHARS else (t,))]
+    found = _measure_all([s for _, s in pieces], layout)
+    if len(pieces) > len(texts):
+        found = _merged(found, np.array([i for i, _ in pieces]), len(texts))
+    del found["solid"]
+    found["n_chars"] = np.array([len(t or "") for t in texts], np.int64)
+    return found
+
+
+def _segments(text: str) -> Iterator[str]:
+    start = 0
+    while start < len(text):
+        stop = min(len(text), start + LONG_CHARS)
+        if stop < len(text):
+            stop = max(text.rfind("\n", start, stop), text.rfind(" ", start, stop) if text.rfind("\n", start, stop) < 0 else -1) + 1 or stop
+        yield text[start:stop]
+        start = stop
+
+
+def _merged(found: dict[str, np.ndarray], owner: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """The statistics of texts from those of their segments, each weighed by what it is a share of."""
+    out = {name: _sums(found[name], owner, n).astype(found[name].dtype) for name in ("n_words", "n_lines", "solid")}
+    by = {"n_words": ("mean_word_length", "common_word_share", "distinct_word_share"), "n_lines": ("ended_line_share", "length_autocorrelation", "indent_periodicity"), "solid": ("symbol_ratio", "digit_ratio", "aligned_share", "prose_share")}
+    for weight, names in by.items():
+        for name in names:
+            out[name] = _sums(found[name] * found[weight], owner, n) / np.maximum(out[weight], 1)
+    largest = np.zeros(n, np.int64)
+    other = np.where(found["kind"] == "prose", -1.0, found["solid"])
+    for i in np.argsort(other, kind="stable"):
+        largest[owner[i]] = i
+    out["kind"] = np.where(out["solid"] == 0, "empty", np.where(out["prose_share"] >= 0.5, "prose", found["kind"][largest])).astype(object)
+    return out
+
+
+def _measure_all(cleaned: list[str], layout: bool) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {}
+    start, texts = 0, cleaned
+    if not texts:
+        return {name: np.zeros(0) for name in ("solid", *(n for n, _, _ in _OUT))}
     while start < len(texts):
         stop, size = start, 0
         while stop < len(texts) and (stop == start or size + len(cleaned[stop]) <= _PASS_CHARS):
             size += len(cleaned[stop])
             stop += 1
         part = _measure_some(cleaned[start:stop], layout)
-        part["n_chars"] = np.array([len(t or "") for t in texts[start:stop]], np.int64)
         for name, values in part.items():
             out.setdefault(name, []).append(values)
         start = stop
@@ -258,6 +296,7 @@ def _measure_some(texts: list[str], layout: bool, flags: dict | None = None) ->
         zero = np.zeros(docs)
         stats = {name: zero.astype(np.int64) if kind == "long" else zero for name, _, kind in _OUT[:-1]}
         stats["kind"] = np.full(docs, "empty", dtype=object)
+        stats["solid"] = zero
         return stats
     letter = (classes >= _VOWEL) & (classes <= _LETTER)
     vowel, consonant = classes == _VOWEL, classes == _CONSONANT
@@ -428,6 +467,7 @@ def _measure_some(texts: list[str], layout: bool, flags: dict | None = None) ->
     stats["indent_periodicity"] = _sums(repeated * block_lines, block_doc, docs) / weights
     stats["aligned_share"] = _sums(line_solid * aligned, doc_of_line, docs) / safe
     stats["prose_share"] = np.minimum(1.0, _sums(p["solid"] * good, piece_doc, docs) / safe)
+    stats["solid"] = doc_solid
     stats["kind"] = _kinds(texts, stats, doc_solid, doc_of_line, full, aligned, item, line_solid)
     return stats
 
@@ -503,7 +543,7 @@ def text_quality(df: DataFrame, keep: list[str], text_col: str = "text") -> Data
     ``prose_share`` (characters in running sentences) and ``kind``.
 
     Defined cases: null, empty and blank texts have zero everywhere and the kind ``empty``; bytes that are no
-    UTF-8 count as U+FFFD; a sentence repeated in one text counts three times at most; repeated rows come
+    UTF-8 count as U+FFFD; texts above ``LONG_CHARS`` are measured in segments whose statistics are put together; a sentence repeated in one text counts three times at most; repeated rows come
     out as often as they come in; an empty table gives an empty result; other columns are not read.
     """
     narrow = df.select(*keep, F.col(text_col).cast("binary").alias("__text"))

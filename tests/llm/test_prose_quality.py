@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from lodestrata.llm import prose_quality
 from lodestrata.llm.prose_quality import autocorrelation, label_lines, measure, not_prose, periodicity, running, statistics, text_quality
 
 PROSE = [
@@ -96,3 +97,15 @@ def test_many_texts_at_once_are_as_one_by_one():
     together = measure(texts)
     for i, t in enumerate(texts):
         assert {n: v[i] for n, v in together.items()} == {n: v[0] for n, v in measure([t]).items()}
+
+
+def test_very_long_texts_are_measured_in_segments(monkeypatch):
+    monkeypatch.setattr(prose_quality, "LONG_CHARS", 400)
+    prose = "".join(f"In the year {i} the old reader kept what it had found, and nobody had to wait for it.\n" for i in range(40))
+    table = "".join(f"row_{i}_name    {i * 37}   0.{i}\n" for i in range(200))
+    whole = measure([prose, None, table, prose + table, "x" * 2000])
+    assert whole["prose_share"][0] > 0.95 and whole["kind"].tolist() == ["prose", "empty", "table", "table", "junk"]
+    monkeypatch.undo()
+    one = measure([prose, None, table, prose + table])
+    assert np.allclose(one["prose_share"], whole["prose_share"][:4], atol=0.05) and one["n_words"].tolist() == whole["n_words"][:4].tolist()
+    assert len(measure([])["kind"]) == 0
