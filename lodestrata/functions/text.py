@@ -77,7 +77,10 @@ def contains_ci(text: Column, needle: str) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """A path glob as a regular expression: ``*`` and ``?`` stay within a segment, ``**`` crosses them."""
+    """A path glob as a regular expression: ``*``, ``?`` and classes (``[a-z]``, ``[!x]``) stay within a segment, ``**`` crosses them.
+
+    A bracket that is never closed, or closes at once, means itself.
+    """
     out, i = "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
@@ -88,6 +91,11 @@ def glob_regex(glob: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif glob[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif glob[i] == "[" and (end := glob.find("]", i + 2)) > 0 and "/" not in glob[i:end]:
+            inside = glob[i + 1 : end]
+            negated = inside[0] in "!^" and len(inside) > 1
+            members = re.sub(r"([\\\[\]^&])", r"\\\1", inside[1:] if negated else inside)
+            out, i = out + ("(?!/)[^" if negated else "[") + members + "]", end + 1
         else:
             out, i = out + re.escape(glob[i]), i + 1
     return f"^{out}$"

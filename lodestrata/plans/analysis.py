@@ -13,7 +13,7 @@ from lodestrata.operators.history import budget_prefix
 from lodestrata.operators.search import ranked
 from lodestrata.operators.text_index import index_bm25
 from lodestrata.plans import codebase, lexical, router
-from lodestrata.plans.findings import _FP
+from lodestrata.plans.findings import _FIND, _FP
 from lodestrata.runtime import stored_table
 from lodestrata.sources import load_table, table_path
 
@@ -191,6 +191,9 @@ _CAND = f"""live as (select * from files where is_deleted = 0), tok as (select f
  cand as (select *, greatest(1, cast(ceil(length(key) / 4.0) as bigint)) as cost from cand0 qualify row_number() over (partition by key order by score desc, provider) = 1)"""
 _ALL = f"with {_BASE}, {_C._ROUTES}, {_IR}, {_GUARD}, {_CAND}"
 ORACLES = {
+    "diff_impact_findings": rf"""with recursive {_FIND}, {_C._IMP}, {_C._MOD}, ch as (select distinct split_part(path, '/', 1) || '/' || regexp_extract(path, '([a-z]+)(?:\.[a-z]+)+$', 1) as node from files where last_modified_at > indexed_at and is_deleted = 0 and path like '%.sql'),
+ {_C._walk_sql('select node from ch', 'select dst as src, src as dst from mods', 2)}, a as (select split_part(path, '/', 1) || '/' || regexp_extract(path, '([a-z]+)(?:\.[a-z]+)+$', 1) as node, count(*) as n, count(*) filter (severity = 'error') as e from found group by 1)
+ select depth, count(*) as modules, cast(coalesce(sum(n), 0) as bigint) as findings, cast(coalesce(sum(e), 0) as bigint) as errors from walk left join a using (node) group by 1""",
     "schema_snapshot": f"with {_BASE}, {_IR} select kind, count(*) as facts, count(distinct name) as names, min(name) as first_name from ir group by 1",
     "schema_snapshot_fingerprint": f"""with {_BASE}, {_IR}, h as (select sha256(concat_ws(chr(31), kind, name, member, detail)) as h from ir), b as (select left(h, 2) as b, count(*) as n, sha256(string_agg(h, '' order by h)) as d from h group by 1)
  select cast(coalesce(sum(n), 0) as bigint) as facts, sha256(coalesce(string_agg(d, '' order by b), '')) as fingerprint from b""",

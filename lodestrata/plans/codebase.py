@@ -81,6 +81,30 @@ def derived_module_edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("imports"))
 
 
+def value_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Module edges with at least one import that is not of types only."""
+    rows = _imports(spark, d).filter("kind in ('relative', 'package') and not type_only")
+    space = F.element_at(F.split("path", "/"), 1)
+    own, to = F.regexp_extract("path", r"([a-z]+)(?:\.[a-z]+)+$", 1), F.regexp_extract("specifier", r"([a-z]+)(?:/index)?(?:\.js)?$", 1)
+    return rows.select(F.concat_ws("/", space, own).alias("src"), F.concat_ws("/", space, to).alias("dst"), own.alias("o"), to.alias("t")).filter("o <> '' and t <> ''").select("src", "dst").distinct()
+
+
+def reverse_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All that depends on a module in the end, imports of types apart."""
+    return graph.reachable(graph.reverse(value_edges(spark, d)), _seed(spark, "mosaic-00001/chunk")).select("node", "depth")
+
+
+def diff_impact_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The modules that depend on changed ones within two steps, with the active findings of their files, by distance."""
+    from lodestrata.plans import findings
+
+    module = F.concat_ws("/", F.element_at(F.split("path", "/"), 1), F.regexp_extract("path", r"([a-z]+)(?:\.[a-z]+)+$", 1))
+    changed = load_table(spark, d, "files").filter("last_modified_at > indexed_at and is_deleted = 0 and path like '%.sql'").select(module.alias("node"))
+    walk = graph.reachable(graph.reverse(module_edges(spark, d)), changed, 2)
+    active = findings._findings(spark, d).groupBy(module.alias("node")).agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("e"))
+    return walk.join(active, "node", "left").groupBy("depth").agg(F.count("*").alias("modules"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.coalesce(F.sum("e"), F.lit(0)).alias("errors"))
+
+
 def import_hotspots(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(module_edges(spark, d)).orderBy(F.col("total").desc(), F.col("fan_in").desc(), "node").limit(40)
 
@@ -235,7 +259,7 @@ def diff_impact(spark: SparkSession, d: str) -> DataFrame:
     return walk.groupBy("depth").agg(F.count("*").alias("modules"))
 
 
-QUERIES = {f.__name__: f for f in (import_kinds, exported_kinds, route_table, schema_object_list, schema_columns, function_tables, schema_usages, live_search, semantic_unit_counts, module_edges, import_hotspots, centrality_rank, graph_khop, reverse_impact, graph_shortest_path, reachability_closure, module_components, module_short_cycles, event_transition_cycles, graph_edge_counts, where_used, import_edge_resolution, file_detail, file_content, table_neighbourhood, route_context, tenant_audit, flow_boundaries, change_plan, diff_impact)}
+QUERIES = {f.__name__: f for f in (import_kinds, exported_kinds, route_table, schema_object_list, schema_columns, function_tables, schema_usages, live_search, semantic_unit_counts, module_edges, import_hotspots, centrality_rank, graph_khop, reverse_impact, graph_shortest_path, reachability_closure, module_components, module_short_cycles, event_transition_cycles, graph_edge_counts, where_used, import_edge_resolution, file_detail, file_content, table_neighbourhood, route_context, tenant_audit, flow_boundaries, change_plan, diff_impact, reverse_closure, diff_impact_findings)}
 
 _TEXTS = "texts as (select file_id, path, language, content from chunks join files using (file_id) where chunk_kind = 'file')"
 _SQLT = "sqlt as (select * from texts where path like '%.sql')"
@@ -268,6 +292,8 @@ def _seeds_sql(*nodes: str) -> str:
 _VIA = """lv1 as (select m.src as node, 'mosaic-00001/chunk' as p from mods m where m.dst = 'mosaic-00001/chunk' and m.src <> m.dst group by 1),
  lv2 as (select m.src as node, min(l.node) as p from mods m join lv1 l on m.dst = l.node where m.src not in (select node from lv1) and m.src <> 'mosaic-00001/chunk' group by 1)"""
 ORACLES = {
+    "reverse_closure": rf"""with recursive {_TEXTS}, {_IMP}, mods as (select distinct split_part(path, '/', 1) || '/' || o as src, split_part(path, '/', 1) || '/' || t as dst from (select path, regexp_extract(path, '([a-z]+)(?:\.[a-z]+)+$', 1) as o, regexp_extract(specifier, '([a-z]+)(?:/index)?(?:\.js)?$', 1) as t from imports where kind in ('relative', 'package') and not type_only) where o <> '' and t <> ''),
+ {_walk_sql(_seeds_sql('mosaic-00001/chunk'), 'select dst as src, src as dst from mods', 40)} select node, depth from walk""",
     "import_kinds": f"with {_TEXTS}, {_IMP} select kind, type_only, count(*) as imports, count(distinct file_id) as files, cast(sum(len(names)) as bigint) as names from imports group by 1, 2",
     "exported_kinds": f"with {_TEXTS}, x as (select unnest(regexp_extract_all(content, '(?:^|\\n)export\\s+(?:default\\s+)?(?:async\\s+)?((?:function|class|interface|const|let|enum|type)\\s+\\w+)', 1)) as d from texts) select regexp_extract(d, '^(\\w+)', 1) as kind, count(*) as exports, count(distinct regexp_extract(d, '(\\w+)$', 1)) as names from x group by 1",
     "route_table": f"with {_TEXTS}, {_ROUTES} select route_key, framework, path from routes",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.keys import fingerprint
+from lodestrata.functions.text import contains_ci, matches_glob
 from lodestrata.operators.facts import assertion_verdict, confidence, lifecycle, packet_confidence, replace_for_source, rule_findings, rule_memory, upsert, with_ack_status, without_acknowledged
 from lodestrata.operators.search import best_per_key
 from lodestrata.runtime import spread, stored_table
@@ -41,6 +42,13 @@ def _acks(spark: SparkSession, d: str) -> DataFrame:
     return _findings(spark, d).filter("path like '%/scripts/%' or path like '%/docs/%'").select("fingerprint")
 
 
+def finding_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Findings whose rule, path or excerpt holds a text, below one folder of a workspace."""
+    rows = _findings(spark, d)
+    text = contains_ci(F.col("rule"), "import") | contains_ci(F.col("path"), "import") | contains_ci(F.col("excerpt"), "import")
+    return rows.filter(text & matches_glob(F.col("path"), "orchid-*/**")).groupBy("rule").agg(F.count("*").alias("findings"), F.min("path").alias("first_path"))
+
+
 def rule_finding_counts(spark: SparkSession, d: str) -> DataFrame:
     return _findings(spark, d).groupBy("rule", "severity").agg(F.count("*").alias("findings"), F.count_distinct("path").alias("files"), F.count_distinct("fingerprint").alias("fingerprints"), F.min("fingerprint").alias("first_fingerprint"))
 
@@ -172,7 +180,7 @@ def pattern_matches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("callee", "argument", fingerprint(F.col("path"), F.col("pos"), F.col("callee")).alias("f")).groupBy("argument").agg(F.count("*").alias("matches"), F.count_distinct("callee").alias("callees"), F.min("f").alias("first_fingerprint"))
 
 
-QUERIES = {f.__name__: f for f in (rule_finding_counts, finding_list, findings_minus_acks, finding_lifecycle, rule_memory_report, evidence_confidence, packet_confidences, fact_upsert, fact_replace, open_loops, open_loops_by_kind, duplicate_artifacts, structural_duplicates, conventions, applicability, eval_assertions, usefulness_grades, pattern_matches)}
+QUERIES = {f.__name__: f for f in (finding_scope, rule_finding_counts, finding_list, findings_minus_acks, finding_lifecycle, rule_memory_report, evidence_confidence, packet_confidences, fact_upsert, fact_replace, open_loops, open_loops_by_kind, duplicate_artifacts, structural_duplicates, conventions, applicability, eval_assertions, usefulness_grades, pattern_matches)}
 
 _FP = "sha256(concat_ws(chr(31), {0}))"
 _STAMP = "rtrim(rtrim(strftime({0}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')"
@@ -189,6 +197,7 @@ _LOOPS = f"""loops as (select 'active_finding' as loop, rule as reason, count(*)
  union all select 'failed_run', coalesce(tier, '?'), count(*) from (select distinct * from harness_sessions) where status = 'error' group by 2)"""
 _FACTS = "f as (select distinct project_id as project, coalesce(tier, '?') as overlay, coalesce(active_provider, '?') as source, coalesce(status, '?') as kind, coalesce(active_model, '?') as subject, session_id, updated_at from harness_sessions)"
 ORACLES = {
+    "finding_scope": f"with {_FIND} select rule, count(*) as findings, min(path) as first_path from found f where starts_with(path, 'orchid-') and (contains(lower(rule), 'import') or contains(lower(path), 'import') or exists (select 1 from lines l where l.path = f.path and l.line_no = f.line_no and contains(lower(l.line), 'import'))) group by 1",
     "rule_finding_counts": f"with {_FIND} select rule, severity, count(*) as findings, count(distinct path) as files, count(distinct fingerprint) as fingerprints, min(fingerprint) as first_fingerprint from found group by 1, 2",
     "finding_list": f"with {_FIND} select rule, severity, path, cast(line_no as integer) as line_no from found where fingerprint not in (select fingerprint from acks) order by case severity when 'error' then 0 when 'warning' then 1 else 2 end, path, line_no, rule limit 100",
     "findings_minus_acks": f"with {_FIND} select rule, count(*) as open_findings from found where fingerprint not in (select fingerprint from acks) group by 1",

@@ -93,6 +93,13 @@ def chunk_search_bm25(spark: SparkSession, d: str) -> DataFrame:
     return top.select("chunk_id", "path", "score", snippet(tokens(F.col("all_text")), terms).alias("snippet"))
 
 
+def symbol_chunk_search(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of symbols alone, ranked as among all chunks."""
+    hits = index_bm25(spark, chunk_index(spark, d), query_terms("branch overlay"), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+    own = load_table(spark, d, "chunks").filter("chunk_kind = 'symbol'").select("chunk_id", "name")
+    return ranked(hits.join(own, "chunk_id"), F.col("score").desc(), F.col("chunk_id"), limit=20)
+
+
 def prefix_all_search(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).filter(has_all_prefixes(tokens(F.col("text")), ["snap", "rea"])).select("doc_id", "lang")
 
@@ -239,7 +246,7 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy("source").agg(F.sum(token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_bm25_topk, unit_text_search, memory_text_search, token_document_frequency, chunk_search_bm25, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, precedent_rank, token_costs)}
+QUERIES = {f.__name__: f for f in (lexical_bm25_topk, unit_text_search, memory_text_search, token_document_frequency, chunk_search_bm25, symbol_chunk_search, prefix_all_search, prefix_any_search, phrase_search, identifier_words, file_search_merged, exact_text_search, file_lookup_ranked, path_glob_filter, symbol_additive_rank, body_additive_rank, hot_index_rank, cross_source_search, answer_recall, scout_rank, context_rank, name_suggestions, tool_rank, precedent_rank, token_costs)}
 
 _TOK = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')"
 # another way to the same words: a blank before each capitalised word, then the runs of one kind of character
@@ -256,6 +263,8 @@ def _bm25_sql(source: str, key: str, text: str, terms: list[str]) -> str:
 
 _SYM = "(select distinct symbol_id, name from symbols)"
 ORACLES = {
+    "symbol_chunk_search": f"""with src as (select chunk_id, concat_ws(' ', content, path, coalesce(name, '')) as all_text from chunks join files using (file_id)), {_bm25_sql('src', 'chunk_id', 'all_text', ['branch', 'overlay'])},
+ r as (select k as chunk_id, round(score, 6) as score, name from bm join chunks on k = chunk_id where chunk_kind = 'symbol') select chunk_id, score, name, cast(row_number() over (order by score desc, chunk_id) as integer) as rank from r order by score desc, chunk_id limit 20""",
     "lexical_bm25_topk": f"with {_bm25_sql('documents', 'doc_id', 'text', TERMS)}, r as (select k as doc_id, round(score, 6) as score from bm) select doc_id, score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from r order by score desc, doc_id limit 20",
     "memory_text_search": f"with src as (select distinct part_id, json_extract_string(payload_json, '$.text') as text from harness_message_parts where kind = 'text'), {_bm25_sql('src', 'part_id', 'text', ['snapshot', 'budget'])}, r as (select k as part_id, round(score, 6) as score from bm) select part_id, score, cast(row_number() over (order by score desc, part_id) as integer) as rank from r order by score desc, part_id limit 20",
     "unit_text_search": f"with src as (select distinct 'su_' || sha256(concat_ws(chr(31), case when chunk_kind = 'symbol' then 'code' else 'doc' end, cast(file_id as varchar), sha256(content))) as unit_id, content from chunks where content is not null), {_bm25_sql('src', 'unit_id', 'content', ['budget', 'overlay'])}, r as (select k as unit_id, round(score, 6) as score from bm) select unit_id, score, cast(row_number() over (order by score desc, unit_id) as integer) as rank from r order by score desc, unit_id limit 20",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from lodestrata.functions.text import matches_glob
 from lodestrata.operators.graph import reachable
 from lodestrata.operators.search import best_per_key
 from lodestrata.runtime import written
@@ -39,6 +40,21 @@ def deduplicated(events: DataFrame, key: str, time: str, lateness: str) -> DataF
     return events.dropDuplicates([key])
 
 
+def normalised_changes(events: DataFrame, path: str, ignored: tuple[str, ...] = (), root: str | None = None) -> DataFrame:
+    """Events with their path in one form: forward slashes, no ``.`` or empty segments, relative to ``root``.
+
+    Paths that climb out of the root, lie outside of it, are null or match an ignored glob are left out; works on streams.
+    """
+    p = F.regexp_replace(F.regexp_replace(F.col(path), r"\\", "/"), r"(?:(?<=^)|(?<=/))(?:\./)+|(?<=/)/+", "")
+    if root is not None:
+        base = root.rstrip("/") + "/"
+        p = F.when(p.startswith(base), F.substring(p, len(base) + 1, 1_000_000)).when(~p.startswith("/"), p)
+    kept = events.withColumn(path, F.regexp_replace(p, "/+$", "")).filter(F.col(path).isNotNull() & (F.col(path) != "") & ~F.col(path).rlike(r"(?:^|/)\.\.(?:/|$)") & ~F.col(path).startswith("/"))
+    for glob in ignored:
+        kept = kept.filter(~matches_glob(F.col(path), glob))
+    return kept
+
+
 def change_sets(events: DataFrame, keys: list[str], time: str, tie: str, gap_seconds: float, max_seconds: float = MAX_DELAY) -> DataFrame:
     """Batch form of the micro-batches: events of a key closer than the gap form one change set, and a set older
     than ``max_seconds`` is closed at that age; sets are numbered as revisions from 1."""

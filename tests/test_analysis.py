@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import expand_identifier
+from lodestrata.functions.text import expand_identifier, matches_glob
 from lodestrata.operators import context, graph, guards, schema
 from lodestrata.operators.history import in_order, retained_tail
 from lodestrata.operators.search import bm25
@@ -161,3 +161,9 @@ def test_retained_tail(spark):
     df = spark.createDataFrame([("a", i, 100) for i in range(10)] + [("b", i, 1) for i in range(10)] + [(None, 1, 5)], "k string, at long, tokens long")
     rows = retained_tail(df.filter("k is not null"), ["k"], ["at"], "tokens", 400).collect()
     assert {(r.k, r.at) for r in rows if r.archive} == {("a", i) for i in range(6)} and len(rows) == 20
+
+
+def test_glob_classes(spark):
+    cases = [("src/a1.ts", "src/[a-c][0-9].ts", True), ("src/d1.ts", "src/[a-c][0-9].ts", False), ("src/x.ts", "src/[!a-c].ts", True), ("src/a.ts", "src/[!a-c].ts", False), ("a/b", "a[!x]b", False), ("a[b", "a[b", True), ("a[]b", "a[]b", True), ("x]", "[]]", False), ("^", "[^]", True)]
+    for path, glob, want in cases:
+        assert spark.range(1).select(matches_glob(F.lit(path), glob)).first()[0] is want, (path, glob)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.sources.store import SnapshotStore, append_operations, read_operations, sarif_document, sarif_file, sarif_results
-from lodestrata.streaming.changes import affected, affected_nodes, apply_exactly_once, apply_to_store, change_sets, deduplicated, finding_lifecycle_stream, refresh_scope, scoped_refresh, session_counts, windowed_counts
+from lodestrata.streaming.changes import affected, affected_nodes, apply_exactly_once, apply_to_store, change_sets, deduplicated, finding_lifecycle_stream, normalised_changes, refresh_scope, scoped_refresh, session_counts, windowed_counts
 
 T0 = datetime(2025, 1, 1)
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -197,3 +197,9 @@ def test_sarif_is_one_file(spark, tmp_path):
     sarif_file(findings, f"file://{tmp_path}/out.sarif")
     results = json.loads((tmp_path / "out.sarif").read_text())["runs"][0]["results"]
     assert sorted(r["partialFingerprints"]["primary"] for r in results if r) == sorted(f"f{i}" for i in range(20))
+
+
+def test_paths_of_changes_in_one_form(spark):
+    df = spark.createDataFrame([(x,) for x in ("/r/a/b.ts", "./a//c.ts", "a\\d.ts", "/r/../x", "/else/x", None, "node_modules/x.js", "/r/a/./e.ts/", "")], "path string")
+    got = [r.path for r in normalised_changes(df, "path", ("node_modules/**",), "/r/").collect()]
+    assert got == ["a/b.ts", "a/c.ts", "a/d.ts", "a/e.ts"]
