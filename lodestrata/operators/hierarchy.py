@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import shuffle_tasks, written
+from lodestrata.runtime import settled, shuffle_tasks, written
 
 TREE, CYCLE, BELOW = 0, 1, 2
 _FRAGMENT = "id string, hop array<string>, top string, exit string, lprefix array<string>, state int"
@@ -202,7 +202,8 @@ def resolve_hierarchy(df: DataFrame, id_col: str, parent_col: str, locality: lis
 def cycle_members(df: DataFrame, id_col: str, parent_col: str, locality: list[Column] | None = None, tasks: int | None = None, single_task_rows: int = 200_000) -> DataFrame:
     """The ids (column ``id``) that are their own ancestors; cases as in :func:`resolve_hierarchy`."""
     nodes, keys = _nodes(df, id_col, parent_col, locality or [])
-    return _solve(nodes, keys, max(2, tasks or shuffle_tasks(df.sparkSession)), 0, single_task_rows, False)[1].distinct()
+    spark = df.sparkSession
+    return settled(spark, "cycle-members", lambda: _solve(nodes, keys, max(2, tasks or shuffle_tasks(spark)), 0, single_task_rows, False)[1].distinct())
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

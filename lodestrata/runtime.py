@@ -8,7 +8,8 @@ import tempfile
 import uuid
 import zipfile
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: dict[str, tuple] = {}
+_lasting: set[str] = set()
 
 
 def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
@@ -77,6 +79,29 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables written inside, which nothing may read afterwards; tables of :func:`stored` stay."""
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        for path in set(_scratch) - before - _lasting:
+            delete_path(spark, path)
+
+
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written; the intermediate tables that it took are deleted at once.
+
+    For small results of large work, such as verdicts and reports.
+    """
+    path = new_path(spark, label)
+    with scratch(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a path of :func:`new_path` once nothing reads it any more."""
     _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
@@ -106,7 +131,9 @@ def stored(spark: SparkSession, label: str, inputs: list[str], build: Callable[[
     if key in _stored:
         _stored.move_to_end(key)
     else:
-        _stored[key] = build(new_path(spark, label))
+        path = new_path(spark, label)
+        _lasting.add(path)
+        _stored[key] = build(path)
         if len(_stored) > STORED:
             _stored.popitem(last=False)
     return _stored[key]

@@ -7,7 +7,7 @@ from lodestrata.operators import context, graph, guards, schema
 from lodestrata.operators.history import in_order, retained_tail
 from lodestrata.operators.search import bm25
 from lodestrata.operators.text_index import bucket_of, build_index, index_bm25
-from lodestrata.runtime import signature, stored_table
+from lodestrata.runtime import _scratch, settled, signature, stored_table, written
 
 SQL = """
 create table app.orders (id bigint primary key, owner_id bigint references app.users (id), state app.state);
@@ -167,3 +167,13 @@ def test_glob_classes(spark):
     cases = [("src/a1.ts", "src/[a-c][0-9].ts", True), ("src/d1.ts", "src/[a-c][0-9].ts", False), ("src/x.ts", "src/[!a-c].ts", True), ("src/a.ts", "src/[!a-c].ts", False), ("a/b", "a[!x]b", False), ("a[b", "a[b", True), ("a[]b", "a[]b", True), ("x]", "[]]", False), ("^", "[^]", True)]
     for path, glob, want in cases:
         assert spark.range(1).select(matches_glob(F.lit(path), glob)).first()[0] is want, (path, glob)
+
+
+def test_intermediate_tables_go_when_the_result_is_settled(spark, tmp_path):
+    path = f"file://{tmp_path}/in"
+    spark.range(3).write.parquet(path)
+    before = set(_scratch)
+    df = settled(spark, "sum", lambda: written(spark.range(10), "one").join(stored_table(spark, "kept", [path], lambda: spark.read.parquet(path)), "id").agg(F.sum("id").alias("s")))
+    assert df.first().s == 3
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(_scratch) - before}
+    assert left == {"sum", "kept"}
