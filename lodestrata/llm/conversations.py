@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.runtime import delete_path, new_path, shuffle_tasks
+from lodestrata.runtime import delete_path, new_path, settled, shuffle_tasks
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Ordinals of one session that share a state key.
@@ -206,7 +206,8 @@ def judged_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame,
     are none; missing times count as the log's last time; empty tables give an empty result.
     """
     times = messages.filter("session_id is not null").select(F.col("created_at").cast("timestamp").alias("event_time"))
-    verdicts = session_verdicts(closed_blocks(message_log(messages, parts, block), times=times, **options))
+    # the closed windows go as soon as the verdicts, a row a session, are written
+    verdicts = settled(messages.sparkSession, "verdicts", lambda: session_verdicts(closed_blocks(message_log(messages, parts, block), times=times, **options)))
     known = sessions.filter("session_id is not null").select("session_id").distinct().withColumn("known", F.lit(True))
     return known.join(verdicts, "session_id", "full").select("session_id", (F.col("known").isNull() | F.coalesce("broken", F.lit(True))).alias("broken"))
 
