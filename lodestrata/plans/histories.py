@@ -180,6 +180,11 @@ _OVER = """a as (select path, language, sha256 from files where coalesce(indexed
 _VERIFY = """v as (select user_id, max(ts) filter (event_type = 'purchase') as vt, max(ts) filter (event_type = 'signup') as ct, arg_max(event_type, (ts, event_id)) as last from events group by 1),
  s as (select user_id, case when last = 'error' then 'failed' when vt is null then 'unknown' when ct > vt then 'stale' else 'fresh' end as state from v)"""
 ORACLES = {
+    "repo_map_budget": """with recursive s as (select distinct symbol_id, file_id, kind, export_name, line_start, coalesce(signature_text, '') as sig from symbols where line_start is not null),
+ r as (select file_id, length(sig) + 20 as c, row_number() over (partition by file_id order by export_name is null, case kind when 'class' then 0 when 'interface' then 1 when 'function' then 2 else 3 end, line_start, symbol_id) as rk from s qualify rk <= 12),
+ w as (select distinct file_id, 0::bigint as rk, 0::bigint as used, 0 as f, 0 as h from r
+ union all select w.file_id, r.rk, w.used + case when r.c <= 200 - w.used then r.c when 15 <= 200 - w.used then 15 else 0 end, w.f + case when r.c <= 200 - w.used then 1 else 0 end, w.h + case when r.c > 200 - w.used and 15 <= 200 - w.used then 1 else 0 end from w join r on r.file_id = w.file_id and r.rk = w.rk + 1)
+ select file_id, f as full_items, h as header_items, used from w qualify row_number() over (partition by file_id order by rk desc) = 1""",
     "latest_run_per_source": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1",
     "comparable_run_pairs": "with p as (select *, lag(o_orderkey) over w as prev, lag(o_orderstatus) over w as ps, lag(o_orderpriority) over w as pp from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)) select o_custkey, o_orderkey, prev as previous_o_orderkey, o_orderstatus is distinct from ps as o_orderstatus_changed, o_orderpriority is distinct from pp as o_orderpriority_changed from p where prev is not null",
     "trust_state": f"{_T} select o_custkey, o_orderkey, cast(position as integer) as position, trust_state from t",
