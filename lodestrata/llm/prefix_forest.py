@@ -216,13 +216,17 @@ class _Best:
             rows = asking[i : i + step]
             cosines = self.units[rows] @ self.units[targets].T
             cosines[targets[None, :] == rows[:, None]] = -2.0
-            above = cosines > np.maximum(self.cosines[rows, self.k - 1] - 2 * _ERROR, -1.5)[:, None]
-            many = above.sum(axis=1) > 4 * (self.keep + _SPARE)
+            least = np.maximum(self.cosines[rows, self.k - 1] - 2 * _ERROR, -1.5).astype(np.float32)
+            if (least <= -1.5).all():  # nothing is known of these rows yet
+                self._compare_many(rows, targets, cosines)
+                continue
+            at = np.flatnonzero((cosines > least[:, None]).ravel())
+            r = at // len(targets)
+            many = np.bincount(r, minlength=len(rows)) > 4 * (self.keep + _SPARE)
             if many.any():
                 self._compare_many(rows[many], targets, cosines[many])
-                above[many] = False
-            r, c = np.nonzero(above)
-            self.found.append((rows[r], targets[c], cosines[r, c].astype(np.float64)))
+                at, r = at[~many[r]], r[~many[r]]
+            self.found.append((rows[r], targets[at - r * len(targets)], cosines.ravel()[at].astype(np.float64)))
 
     def _compare_many(self, rows: np.ndarray, targets: np.ndarray, cosines: np.ndarray) -> None:
         spare = min(self.k + _SPARE, len(targets))
