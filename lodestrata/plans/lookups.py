@@ -143,6 +143,24 @@ QUERIES = {f.__name__: f for f in (file_list, imports_of_files, fact_list, multi
 _C, _F = codebase, findings
 _SQLP = f"{_C._TEXTS}, {_C._SQLT}, {_C._OBJ}, {_C._COLS}, {_C._FREF}"
 ORACLES = {
+    "markdown_sections": r"""with recursive md as (select file_id, content from chunks join files using (file_id) where chunk_kind = 'file' and path like '%.md' and content is not null and content <> ''),
+ l0 as (select file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n, len(string_split(content, chr(10))) as total from md),
+ l1 as (select * from l0 where not (n = total and line = '')),
+ l2 as (select *, sum(case when regexp_matches(line, '^\s*(?:```|~~~)') then 1 else 0 end) over (partition by file_id order by n) % 2 = 1 as fenced, rtrim(line, chr(13)) as bare from l1),
+ l3 as (select *, not fenced and regexp_matches(bare, '^#{1,6}\s+(.*?)\s*#*\s*$') as head from l2),
+ l4 as (select *, sum(case when head then 1 else 0 end) over (partition by file_id order by n) as sec from l3),
+ h as (select file_id, n, sec, length(regexp_extract(bare, '^(#{1,6})', 1)) as level, regexp_extract(bare, '^#{1,6}\s+(.*?)\s*#*\s*$', 1) as name from l4 where head),
+ anc as (select p.file_id, p.sec, a.n, a.name from h p join h a on a.file_id = p.file_id and a.n <= p.n where a.n = p.n or a.level < (select min(k.level) from h k where k.file_id = p.file_id and k.n > a.n and k.n <= p.n)),
+ titles as (select file_id, sec, string_agg(name, ' > ' order by n) as title from anc group by 1, 2),
+ own as (select file_id, sec, n, line, row_number() over (partition by file_id, sec order by n) as i from l4),
+ full_ as (select file_id, sec from own group by 1, 2 having count(*) filter (trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '') > 0),
+ g as (select file_id, sec, i, n, 1 as part, 1 as k, length(line) as chars from own where i = 1
+  union all select o.file_id, o.sec, o.i, o.n, case when g.k >= 80 or g.chars + g.k + length(o.line) > 2200 then g.part + 1 else g.part end, case when g.k >= 80 or g.chars + g.k + length(o.line) > 2200 then 1 else g.k + 1 end, case when g.k >= 80 or g.chars + g.k + length(o.line) > 2200 then 0 else g.chars end + length(o.line)
+  from g join own o on o.file_id = g.file_id and o.sec = g.sec and o.i = g.i + 1),
+ parts as (select file_id, sec, part, min(n) as line_start, max(n) as line_end, max(chars) + max(k) - 1 as chars from g join full_ using (file_id, sec) group by 1, 2, 3),
+ named as (select *, count(*) over (partition by file_id, sec) as many from parts)
+ select file_id, cast(row_number() over (partition by file_id order by line_start) - 1 as integer) as section_no, case when many > 1 then trim(coalesce(title, '') || ' (part ' || part || ')') else coalesce(title, '') end as title, cast(line_start as bigint) as line_start, cast(line_end as bigint) as line_end, cast(chars as integer) as chars
+ from named left join titles using (file_id, sec)""",
     "file_list": "select file_id, path, language, line_count from files where is_deleted = 0",
     "imports_of_files": f"with {_C._PRE}, a as (select src as module, count(*) as imports from mods group by 1), b as (select dst as module, count(*) as dependents from mods group by 1) select module, coalesce(imports, 0) as imports, coalesce(dependents, 0) as dependents from a full join b using (module)",
     "fact_list": "select session_id, status from (select distinct * from harness_sessions) where status in ('closed', 'error') and updated_at >= '2025-03-01' order by updated_at desc, status, session_id limit 100",
