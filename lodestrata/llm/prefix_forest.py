@@ -527,9 +527,8 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
     cuts: dict[str, list[tuple]] = {}
     if groups:
         fit_rows = min(FIT_ROWS, FIT_TOTAL // len(groups))
-        large = spark.createDataFrame([(s,) for s in groups], "space string")
-        few = F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(1 << 20)) < F.create_map(*(F.lit(x) for s in groups for x in (s, int((1 << 20) * fit_rows / sizes[s]))))[F.col("space")]
-        fit = reps.join(F.broadcast(large), "space", "left_semi").filter(few).select("space", "unit").toArrow()
+        large = F.broadcast(spark.createDataFrame([(s, int((1 << 20) * fit_rows / sizes[s])) for s in groups], "space string, few int"))
+        fit = reps.join(large, "space").filter(F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(1 << 20)) < F.col("few")).select("space", "unit").toArrow()
         named = np.array(fit.column(0).to_pylist(), dtype=object)
         for space in groups:
             own = [x for x, it in zip(fit.column(1).to_pylist(), named == space) if it]
@@ -537,7 +536,7 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, reac
             groups[space] = fitted_groups(units, sizes[space], k)
         most = max(groups.values())
         share = min(1.0, SAMPLE / most / sum(sizes[s] for s in groups))
-        some = reps.join(F.broadcast(large), "space", "left_semi").filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        some = reps.join(large, "space", "left_semi").filter(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
         sample = some.select("space", "unit").mapInArrow(_sample_batches(most, seed), "space string, hashes array<long>, ties array<double>").toArrow().combine_chunks()
         of = np.array(sample.column(0).to_pylist(), dtype=object)
         hashes, ties = (np.concatenate([np.asarray(c.flatten()) for c in sample.column(i).chunks] or [np.zeros(0)]).reshape(-1, most) for i in (1, 2))
